@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholion.llm import lookalike, packing, tokenize, topn
+from scholion.llm import linkage, lookalike, packing, tokenize, topn
 from scholion.session import table
 
 
@@ -10,6 +10,14 @@ def p4_found(spark, d):
     return topn.community_top_journals(table(spark, d, "cluster_representatives"), table(spark, d, "citations2"))
 
 
+def p7_links(spark, d):
+    return linkage.affiliation_links(table(spark, d, "pubmed_author_affiliations"), table(spark, d, "research_organizations"))
+
+
+def p7_found(spark, d):
+    return p7_links(spark, d).select("affiliation_id", "ror_id")
+
+
 def p8_ids(spark, d):
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -32,6 +40,8 @@ def p10_form(spark, d):
 
 QUERIES = {
     "p4_found": p4_found,
+    "p7_found": p7_found,
+    "p7_links": p7_links,
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
     "p9_fill": p9_fill,
