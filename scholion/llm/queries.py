@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholion.llm import linkage, lookalike, packing, tokenize, topn
+from scholion.llm import linkage, lookalike, names, packing, tokenize, topn
 from scholion.session import table
 
 
@@ -10,6 +10,14 @@ def p4_found(spark, d):
     return topn.community_top_journals(table(spark, d, "cluster_representatives"), table(spark, d, "citations2"))
 
 
+def p5_persons(spark, d):
+    return names.author_persons(table(spark, d, "pubmed_authors"), table(spark, d, "given_nicknames"))
+
+
+def p5_found(spark, d):
+    return names.variant_pairs(p5_persons(spark, d))
+
+
 def p7_links(spark, d):
     return linkage.affiliation_links(table(spark, d, "pubmed_author_affiliations"), table(spark, d, "research_organizations"))
 
@@ -40,6 +48,8 @@ def p10_form(spark, d):
 
 QUERIES = {
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_persons": p5_persons,
     "p7_found": p7_found,
     "p7_links": p7_links,
     "p8_ids": p8_ids,
