@@ -1,15 +1,16 @@
 """Variant spellings of personal names: prefix-filtered q-gram join, verified by soft weighted token similarity.
 
-Spellings are read into a family word and given words. Names that read alike form one node. Nodes meet
-when they share one of the rarest q-grams of the family word together with an initial of a given word (the
-prefix filter: two words within one edit differ in at most ``q + 1`` q-grams, so one of the ``q + 2`` rarest
-is shared). Candidates are verified token by token with weights by rarity. Every node then points at the
+Spellings are read into a family word and given words. Names that read alike form one node. The families
+of nodes meet when they share one of their rarest q-grams and the initial of a given word (the prefix
+filter: an edit changes at most ``q + 1`` q-grams of a word, so one of the ``q + 2`` rarest is shared); place,
+length and edit distance are checked where they meet. Candidates are verified token by token with weights by rarity. Every node then points at the
 fuller, better supported spelling it varies, and the roots of these pointers are the persons.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from scholion.llm.folding import plain
 from scholion.llm.linkage import _map
 from scholion.session import cut
 
-Q = 3
+#: q-grams of four letters; families under eight letters, which have few of them, also meet by three.
+LONG, SHORT, SHORT_WORD = 4, 3, 8
 
 # Words before a family name, and words after a name that are no part of it.
 PARTICLES = {"von", "van", "der", "den", "de", "da", "di", "del", "della", "dos", "do", "du", "des", "la", "le", "el", "al", "bin", "ibn", "ben", "abu", "ter", "ten", "zu", "zur", "af", "av", "st", "san", "vande"}
@@ -49,9 +51,8 @@ def short_forms(listed: list[tuple[str | None, str | None]]) -> dict[str, set[st
 
 
 def sound(word: str) -> str:
-    """A family word with spellings of equal sound made equal."""
-    w = word.replace("ph", "f").replace("ck", "k").replace("th", "t").replace("y", "i").replace("c", "k").replace("w", "v").replace("q", "k").replace("z", "s")
-    return re.sub(r"(.)\1+", r"\1", w)
+    """A family word with letters of equal sound made equal."""
+    return word.replace("ph", "f").replace("ck", "k").replace("th", "t").replace("y", "i").replace("c", "k").replace("w", "v").replace("q", "k").replace("z", "s")
 
 
 _SPLIT = re.compile(r"[^\w'’-]+")
@@ -190,9 +191,14 @@ def compare_names(fa: str, ga: list[str], fb: str, gb: list[str], weight: tuple[
     return score if m[0] > 0.6 or family >= 0.9 else 0.0
 
 
-def _grams(word: str) -> list[str]:
+def _grams(word: str) -> Iterator[tuple[str, int, int]]:
+    """(gram, place, number of rare grams that make up the prefix) of a family word."""
     w = f"^{word}$"
-    return sorted({w[i : i + Q] for i in range(max(1, len(w) - Q + 1))})
+    for q in (LONG, SHORT):
+        if q == LONG and len(word) < SHORT_WORD - 1 or q == SHORT and len(word) > SHORT_WORD:
+            continue
+        for i in range(max(1, len(w) - q + 1)):
+            yield w[i : i + q], i, q + 2
 
 
 def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,17 +242,29 @@ def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
 def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float = 0.7) -> DataFrame:
     """(a, b, score) both ways: nodes that may name one person."""
 
-    def keys(node, fam, giv):
-        firsts = {giv[0][0]} | {f[0] for f in forms.get(giv[0].replace("-", ""), ())}
-        for g in _grams(sound(fam)):
-            for i in firsts:
-                yield node, g, i
-
-    grams = _map(nodes.select("node", "fam", "giv"), keys, "node string, gram string, first string")
-    frequency = grams.groupBy("gram").agg(F.countDistinct("node").alias("df"))
-    order = Window.partitionBy("node", "first").orderBy("df", "gram")
-    prefix = cut(grams.join(frequency, "gram").withColumn("r", F.row_number().over(order)).where(F.col("r") <= Q + 2).select("node", "gram", "first"))
-    pairs = prefix.join(prefix.withColumnRenamed("node", "other"), ["gram", "first"]).where("node < other").select("node", "other").distinct()
+    def units(node, fam, giv):
+        first = giv[0].replace("-", "")
+        for i in {first[0]} | {f[0] for f in forms.get(first, ())}:
+            yield node, sound(fam), i
+
+    def grams(word, first):
+        for g, at, most in _grams(word):
+            yield word, first, g, at, most
+
+    of = cut(_map(nodes.select("node", "fam", "giv"), units, "node string, word string, first string"))
+    families = of.select("word", "first").distinct()
+    all_grams = _map(families, grams, "word string, first string, gram string, place int, most int")
+    frequency = all_grams.groupBy("gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("word", "first", "most").orderBy("df", "gram", "place")
+    ranked = all_grams.join(frequency, "gram").withColumn("r", F.row_number().over(order))
+    prefix = cut(ranked.where(F.col("r") <= F.col("most")).select("word", "first", "gram", "place"))
+    other = prefix.select(F.col("word").alias("word_b"), "first", "gram", F.col("place").alias("place_b"))
+    close = (F.col("word") < F.col("word_b")) & (F.abs(F.col("place") - F.col("place_b")) <= 1) & (F.abs(F.length("word") - F.length("word_b")) <= 1)
+    near = prefix.join(other, ["first", "gram"]).where(close).where(F.levenshtein("word", "word_b", 2) >= 0).select("word", "word_b", "first").distinct()
+    same = of.join(of.withColumnRenamed("node", "other"), ["word", "first"]).where("node < other").select("node", "other")
+    unlike = of.join(near, ["word", "first"]).join(of.select(F.col("node").alias("other"), F.col("word").alias("word_b"), "first"), ["word_b", "first"])
+    unlike = unlike.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
+    pairs = same.unionByName(unlike).distinct()
     total = max(2, nodes.count())
     family_use = nodes.groupBy("fam").agg(F.count("*").alias("df"))
     given_use = nodes.select(F.element_at("giv", 1).alias("g1")).groupBy("g1").agg(F.count("*").alias("gdf"))
@@ -260,7 +278,6 @@ def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float =
     left = heavy.select(*(F.col(c).alias(c + "_a") for c in heavy.columns))
     right = heavy.select(*(F.col(c).alias(c + "_b") for c in heavy.columns))
     joined = pairs.withColumnRenamed("node", "node_a").withColumnRenamed("other", "node_b").join(left, "node_a").join(right, "node_b")
-    joined = joined.where(F.abs(F.length("fam_a") - F.length("fam_b")) <= 3).where(F.levenshtein("fam_a", "fam_b", 4) >= 0)
     agree = (F.size("oids_a") == 0) | (F.size("oids_b") == 0) | F.arrays_overlap("oids_a", "oids_b")
 
     def verify(a, b, fa, ga, fb, gb, wf, wg):
