@@ -20,7 +20,7 @@ LOOKALIKES = {
     "ɡɑ∶‐‑": "ga:--",
 }
 # Ranges of characters without a mark of their own.
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200e\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0d\ufeff\uffa0\ufff9-\ufffb"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200e\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0d\ufeff\uffa0\ufff9-\ufffb"
 # Scripts whose letters join differently beside a joiner, so that it shows there.
 SHAPING = ("Arabic", "Bengali", "Devanagari", "Gujarati", "Gurmukhi", "Kannada", "Khmer", "Malayalam", "Mongolian", "Myanmar", "Oriya", "Sinhala", "Syriac", "Tamil", "Telugu", "Tibetan")
 LOOKS_EQUAL = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>"}
