@@ -21,6 +21,8 @@ from scholion.session import cut
 
 #: q-grams of four letters; families under eight letters, which have few of them, also meet by three.
 LONG, SHORT, SHORT_WORD = 4, 3, 8
+#: Families of at least this length may differ by two errors, if the given names agree word by word.
+LONG_WORD = 9
 
 # Words before a family name, and words after a name that are no part of it.
 PARTICLES = {"von", "van", "der", "den", "de", "da", "di", "del", "della", "dos", "do", "du", "des", "la", "le", "el", "al", "bin", "ibn", "ben", "abu", "ter", "ten", "zu", "zur", "af", "av", "st", "san", "vande"}
@@ -122,6 +124,24 @@ def _edit1(a: str, b: str) -> bool:
     return len(x) <= 1 and len(y) <= 1 or (len(x) == len(y) == 2 and x == y[::-1])
 
 
+def _edits(a: str, b: str, most: int) -> int:
+    """Edit distance with exchanged neighbours as one edit, or ``most`` + 1 when it is more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return last[-1]
+
+
 def _same_given(a: str, b: str, forms: dict[str, set[str]]) -> float:
     """Similarity of two given words: 1 equal, 0.95 short form, 0.9 one typing error, 0.6 initial, 0 different."""
     a, b = a.replace("-", ""), b.replace("-", "")
@@ -181,14 +201,16 @@ def compare_names(fa: str, ga: list[str], fb: str, gb: list[str], weight: tuple[
         family = 0.97
     elif min(len(fa), len(fb)) >= 5 and (_edit1(fa, fb) or _edit1(sound(fa), sound(fb))):
         family = 0.9
+    elif min(len(fa), len(fb)) >= LONG_WORD and min(_edits(fa, fb, 2), _edits(sound(fa), sound(fb), 2)) <= 2:
+        family = 0.8
     else:
         return 0.0
     m = given_match(ga, gb, forms)
-    if m is None:
+    if m is None or family < 0.9 and (m[0] < 0.9 or m[1] or m[2]):
         return 0.0
     wf, wg = weight
     score = (wf * family + wg * m[0]) / (wf + wg)
-    return score if m[0] > 0.6 or family >= 0.9 else 0.0
+    return score
 
 
 def _grams(word: str) -> Iterator[tuple[str, int, int]]:
@@ -259,8 +281,8 @@ def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float =
     ranked = all_grams.join(frequency, "gram").withColumn("r", F.row_number().over(order))
     prefix = cut(ranked.where(F.col("r") <= F.col("most")).select("word", "first", "gram", "place"))
     other = prefix.select(F.col("word").alias("word_b"), "first", "gram", F.col("place").alias("place_b"))
-    close = (F.col("word") < F.col("word_b")) & (F.abs(F.col("place") - F.col("place_b")) <= 1) & (F.abs(F.length("word") - F.length("word_b")) <= 1)
-    near = prefix.join(other, ["first", "gram"]).where(close).where(F.levenshtein("word", "word_b", 2) >= 0).select("word", "word_b", "first").distinct()
+    close = (F.col("word") < F.col("word_b")) & (F.abs(F.col("place") - F.col("place_b")) <= 2) & (F.abs(F.length("word") - F.length("word_b")) <= 2)
+    near = prefix.join(other, ["first", "gram"]).where(close).where(F.levenshtein("word", "word_b", 3) >= 0).select("word", "word_b", "first").distinct()
     same = of.join(of.withColumnRenamed("node", "other"), ["word", "first"]).where("node < other").select("node", "other")
     unlike = of.join(near, ["word", "first"]).join(of.select(F.col("node").alias("other"), F.col("word").alias("word_b"), "first"), ["word_b", "first"])
     unlike = unlike.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
