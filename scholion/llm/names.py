@@ -3,7 +3,9 @@
 Spellings are read into a family word and given words. Names that read alike form one node. The families
 of nodes meet when they share one of their rarest q-grams and the initial of a given word (the prefix
 filter: an edit changes at most ``q + 1`` q-grams of a word, so one of the ``q + 2`` rarest is shared); place,
-length and edit distance are checked where they meet. Candidates are verified token by token with weights by rarity. Every node then points at the
+length and edit distance are checked where they meet. Nodes of one family, or of two near ones, become
+candidates by what their first given words may have in common, so a frequent family makes no pairs of all
+its members. Candidates are verified token by token with weights by rarity. Every node then points at the
 fuller, better supported spelling it varies, and the roots of these pointers are the persons.
 """
 
@@ -23,6 +25,8 @@ from scholion.session import cut
 LONG, SHORT, SHORT_WORD = 4, 3, 8
 #: Families of at least this length may differ by two errors, if the given names agree word by word.
 LONG_WORD = 9
+#: Given words longer than this are no names people type; they meet by their ends.
+LONG_GIVEN = 40
 
 # Words before a family name, and words after a name that are no part of it.
 PARTICLES = {"von", "van", "der", "den", "de", "da", "di", "del", "della", "dos", "do", "du", "des", "la", "le", "el", "al", "bin", "ibn", "ben", "abu", "ter", "ten", "zu", "zur", "af", "av", "st", "san", "vande"}
@@ -128,16 +132,20 @@ def _edits(a: str, b: str, most: int) -> int:
     """Edit distance with exchanged neighbours as one edit, or ``most`` + 1 when it is more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
+    n, far = len(b), most + 1
+    before, last = [far] * (n + 1), [min(j, far) for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
+        row = [far] * (n + 1)
+        low, high = max(1, i - most), min(n, i + most)
+        row[low - 1] = min(i, far) if low == 1 else far
+        for j in range(low, high + 1):  # a path of few edits stays near the diagonal
+            y = b[j - 1]
             d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
+            row[j] = min(d, far)
+        if min(row[low - 1 : high + 1]) >= far:
+            return far
         before, last = last, row
     return last[-1]
 
@@ -261,20 +269,44 @@ def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, nodes
 
 
+#: Roles of keys: D equal words, or words that are equal without one letter; S a short form and L what it may be short for; I initials only and F full words.
+_MEET = "role = 'D' and role_b = 'D' or role = 'S' and role_b = 'L' or role = 'L' and role_b = 'S' or role = 'I' and role_b in ('I', 'F') or role = 'F' and role_b = 'I'"
+
+
+def _firsts(given: list[str], forms: dict[str, set[str]]) -> set[str]:
+    first = given[0].replace("-", "")
+    return {first[0]} | {f[0] for f in forms.get(first, ())}
+
+
+def _given_keys(given: list[str], forms: dict[str, set[str]]) -> set[str]:
+    """Keys, led by their role, of which ``given_match`` needs two names to share one."""
+    first, whole = given[0].replace("-", ""), "".join(given).replace("-", "")
+    if len(first) == 1:
+        words, out = {whole}, {"I" + first}
+    else:
+        words, out = {first, whole}, {"F" + first[0], "S" + first[:LONG_GIVEN], *("L" + first[:k] for k in range(3, min(len(first) - 1, LONG_GIVEN)))}
+    out |= {"D" + f for f in forms.get(first, ())}
+    for w in words:
+        if len(w) > LONG_GIVEN:  # one error leaves either end as it is
+            out |= {"D" + w[: LONG_GIVEN // 2] + "<", "D>" + w[-LONG_GIVEN // 2 :]}
+        else:
+            out |= {"D" + w, *("D" + w[:i] + w[i + 1 :] for i in range(len(w)))}
+    return out
+
+
 def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float = 0.7) -> DataFrame:
     """(a, b, score) both ways: nodes that may name one person."""
 
     def units(node, fam, giv):
-        first = giv[0].replace("-", "")
-        for i in {first[0]} | {f[0] for f in forms.get(first, ())}:
-            yield node, sound(fam), i
+        word = sound(fam)
+        yield node, word, sorted(_firsts(giv, forms)), list(_given_keys(giv, forms))
 
     def grams(word, first):
         for g, at, most in _grams(word):
             yield word, first, g, at, most
 
-    of = cut(_map(nodes.select("node", "fam", "giv"), units, "node string, word string, first string"))
-    families = of.select("word", "first").distinct()
+    of = cut(_map(nodes.select("node", "fam", "giv"), units, "node string, word string, firsts array<string>, keys array<string>"))
+    families = of.select("word", F.explode("firsts").alias("first")).distinct()
     all_grams = _map(families, grams, "word string, first string, gram string, place int, most int")
     frequency = all_grams.groupBy("gram").agg(F.count("*").alias("df"))
     order = Window.partitionBy("word", "first", "most").orderBy("df", "gram", "place")
@@ -282,11 +314,18 @@ def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float =
     prefix = cut(ranked.where(F.col("r") <= F.col("most")).select("word", "first", "gram", "place"))
     other = prefix.select(F.col("word").alias("word_b"), "first", "gram", F.col("place").alias("place_b"))
     close = (F.col("word") < F.col("word_b")) & (F.abs(F.col("place") - F.col("place_b")) <= 2) & (F.abs(F.length("word") - F.length("word_b")) <= 2)
-    near = prefix.join(other, ["first", "gram"]).where(close).where(F.levenshtein("word", "word_b", 3) >= 0).select("word", "word_b", "first").distinct()
-    same = of.join(of.withColumnRenamed("node", "other"), ["word", "first"]).where("node < other").select("node", "other")
-    unlike = of.join(near, ["word", "first"]).join(of.select(F.col("node").alias("other"), F.col("word").alias("word_b"), "first"), ["word_b", "first"])
-    unlike = unlike.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
-    pairs = same.unionByName(unlike).distinct()
+    near = cut(prefix.join(other, ["first", "gram"]).where(close).where(F.levenshtein("word", "word_b", 3) >= 0).select("word", "word_b").distinct())
+
+    # within a family, and between near ones, nodes meet by what their first given words may have in common, never all with all
+    shared = of.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word")
+    keyed = lambda df: df.select("node", "word", F.explode("keys").alias("key")).select("node", "word", F.substring("key", 2, 1000).alias("key"), F.substring("key", 1, 1).alias("role"))
+    mine = keyed(of.join(shared, "word", "left_semi"))
+    theirs = mine.select(F.col("node").alias("other"), "word", "key", F.col("role").alias("role_b"))
+    same = mine.join(theirs, ["word", "key"]).where("node <> other").where(_MEET)
+    left = keyed(of.join(near.select("word").distinct(), "word", "left_semi")).join(near, "word").drop("word")
+    right = keyed(of.join(near.select(F.col("word_b").alias("word")).distinct(), "word", "left_semi")).select(F.col("node").alias("other"), F.col("word").alias("word_b"), "key", F.col("role").alias("role_b"))
+    unlike = left.join(right, ["word_b", "key"]).where(_MEET)
+    pairs = same.select("node", "other").unionByName(unlike.select("node", "other")).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
     total = max(2, nodes.count())
     family_use = nodes.groupBy("fam").agg(F.count("*").alias("df"))
     given_use = nodes.select(F.element_at("giv", 1).alias("g1")).groupBy("g1").agg(F.count("*").alias("gdf"))
