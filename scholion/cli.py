@@ -8,6 +8,7 @@ import random
 import sys
 from importlib import import_module
 
+from scholion import debug
 from scholion.plans.processes import PROCESSES, SCHEMAS
 from scholion.session import local_session
 from scholion.sources.all import SOURCES
@@ -83,6 +84,7 @@ def download(args) -> None:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="scholion", description=__doc__)
     top.add_argument("--cores", default="*", help="local cores to use")
+    top.add_argument("-d", "--debug", default="", metavar="TOPIC,TOPIC", help="; ".join(f"{k}: {v}" for k, v in debug.TOPICS.items()))
     sub = top.add_subparsers(dest="command", required=True)
 
     def source(name: str, help_: str, f):
@@ -151,8 +153,10 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        args.run(args)
-    except UserError as e:
+        debug.set_flags([x for x in args.debug.split(",") if x])
+        with debug.timed(args.command):
+            args.run(args)
+    except (UserError, debug.UnknownTopic) as e:
         print(f"scholion: {e}", file=sys.stderr)
         return 1
     return 0

@@ -240,3 +240,17 @@ def ego_clustering(edges: DataFrame) -> DataFrame:
     corners = triangles.select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
     k = F.col("degree")
     return degree.join(corners, "node", "left").select("node", "degree", F.when(k > 1, 2 * F.coalesce("t", F.lit(0)) / (k * (k - 1))).otherwise(0.0).alias("clustering"))
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, steps: int = 2) -> DataFrame:
+    """seed, node, distance: the nodes within ``steps`` edges of each seed in an undirected graph (a, b), seeds included.
+
+    ``seeds`` has one column, seed. Each step joins the newly reached nodes only.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    reached = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")))
+    for k in range(steps):
+        edge = reached.where(F.col("distance") == k).join(both, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
+        new = edge.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(k + 1))
+        reached = cut(reached.unionByName(new))
+    return reached

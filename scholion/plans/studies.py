@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholion.functions import text
-from scholion.operators import linking, metrics, normalize
-from scholion.session import table
+from scholion.operators import linking, metrics, normalize, ranking
+from scholion.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -226,7 +226,7 @@ def topk_multi_key(t):
 @study("SELECT o_orderpriority, o_orderkey, rn::INTEGER AS rn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5")
 def topk_per_group(t):
     w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return t("orders").select("o_orderpriority", "o_orderkey", F.row_number().over(w).alias("rn"), "o_totalprice").where("rn <= 5").drop("o_totalprice")
+    return t("orders").withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("o_orderpriority", "o_orderkey", "rn")
 
 
 @study("""WITH n AS (SELECT c_nationkey, count(*) AS k FROM customer GROUP BY 1), top AS (SELECT c_nationkey FROM n ORDER BY k DESC, c_nationkey LIMIT 5)
@@ -240,14 +240,14 @@ def top_and_others(t):
 @study("SELECT rank() OVER (ORDER BY count(*) DESC)::INTEGER AS rank, publisher, count(*)::BIGINT AS n FROM works WHERE publisher IS NOT NULL GROUP BY publisher QUALIFY rank <= 20")
 def rank_over_count(t):
     n = t("works").where("publisher is not null").groupBy("publisher").agg(F.count("*").alias("n"))
-    return n.select(F.rank().over(Window.orderBy(F.desc("n"))).alias("rank"), "publisher", "n").where("rank <= 20")
+    return ranking.rank_by_count(n, "n").where("rank <= 20").select("rank", "publisher", "n")
 
 
 @study("""WITH n AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1), q AS (SELECT k, ntile(4) OVER (ORDER BY k, o_custkey) AS quartile FROM n)
 SELECT quartile::INTEGER AS quartile, min(k)::BIGINT AS least, max(k)::BIGINT AS most FROM q GROUP BY 1""")
 def ntile_quartiles(t):
     n = t("orders").groupBy("o_custkey").agg(F.count("*").alias("k"))
-    q = n.select("k", F.ntile(4).over(Window.orderBy("k", "o_custkey")).alias("quartile"))
+    q = ranking.global_ntile(n, ["k", "o_custkey"], 4, "quartile")
     return q.groupBy("quartile").agg(F.min("k").alias("least"), F.max("k").alias("most"))
 
 
@@ -572,6 +572,17 @@ def citation_graph_clustering(t):
     return metrics.ego_clustering(g).select("node", "degree", F.round("clustering", 6).alias("clustering"))
 
 
+@study(f"""WITH {_W}, {_C}, {_E}, {_G}, b AS (SELECT a AS x, b AS y FROM g UNION SELECT b, a FROM g), s AS (SELECT id FROM n WHERE id IN (SELECT x FROM b) ORDER BY (id * 2654435761) % 4294967296 LIMIT 20),
+r AS (SELECT id AS seed, id AS node, 0 AS d FROM s UNION ALL SELECT s.id, y, 1 FROM s JOIN b ON x = s.id UNION ALL SELECT s.id, b2.y, 2 FROM s JOIN b b1 ON b1.x = s.id JOIN b b2 ON b2.x = b1.y)
+SELECT seed, node, min(d)::INTEGER AS distance FROM r GROUP BY ALL""")
+def ego_graphs(t):
+    """Citation graphs within two steps of a repeatable sample of 20 works: the sampling operator."""
+    _, edges = _graph(t)
+    g = cut(edges.select(F.least("citing", "cited").alias("a"), F.greatest("citing", "cited").alias("b")).distinct())
+    known = g.select(F.explode(F.array("a", "b")).alias("seed")).distinct()
+    return metrics.neighbourhood(g, known.orderBy((F.col("seed") * F.lit(2654435761)) % F.lit(4294967296)).limit(20))
+
+
 _TOOLS = ["stratified sampling", "optical profiling", "record linkage", "gradient elution"]
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholion.functions import text
-from scholion.operators import hierarchy, linking, metrics, multivalue, nested, orphans, skew
+from scholion.operators import hierarchy, linking, metrics, multivalue, nested, orphans, ranking, skew
 
 T0 = datetime(2024, 1, 31, 23)
 
@@ -250,3 +250,18 @@ def test_streaks_and_clustering(spark, rows):
     assert rows(metrics.streaks(df, "g", "y", 2)) == [("a", 1, 3), ("a", 7, 2)]
     g = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "a int, b int")
     assert rows(metrics.ego_clustering(g)) == [(1, 2, 1.0), (2, 2, 1.0), (3, 3, pytest.approx(1 / 3)), (4, 1, 0.0)]
+
+
+def test_global_ranks(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(103).select((F.col("id") * 37 % 11).alias("a"), "id")
+    w = Window.orderBy("a", "id")
+    want = {r.id: (r.rn, r.t) for r in df.select("id", F.row_number().over(w).alias("rn"), F.ntile(4).over(w).alias("t")).collect()}
+    assert {r.id: r.rn for r in ranking.global_row_number(df, ["a", "id"]).collect()} == {k: v[0] for k, v in want.items()}
+    assert {r.id: r.tile for r in ranking.global_ntile(df, ["a", "id"], 4).collect()} == {k: v[1] for k, v in want.items()}
+    few = {r.id: r.tile for r in ranking.global_ntile(df.limit(3), ["id"], 5).collect()}
+    assert sorted(few.values()) == [1, 2, 3]
+    assert ranking.global_ntile(df.limit(0), ["id"], 5).count() == 0
+    counts = spark.createDataFrame([("x", 5), ("y", 5), ("z", 9), ("w", 1)], "k string, n bigint")
+    assert {r.k: r["rank"] for r in ranking.rank_by_count(counts, "n").collect()} == {"z": 1, "x": 2, "y": 2, "w": 4}

@@ -75,6 +75,8 @@ def test_attached_database(spark, tmp_path, rows):
     s = sources.Crossref(spark, path, attach=[f"kept:{tmp_path}/db"])
     for partition in (False, True):
         assert rows(s.query("SELECT id FROM works WHERE EXISTS (SELECT 1 FROM kept.works k WHERE k.doi = works.doi)", partition)) == [(16384,)]
+    s.query("INSERT INTO kept.works SELECT doi FROM works WHERE published_year = 2020")
+    assert rows(s.query("SELECT doi FROM kept.works")) == [("10.9000/a",), ("10.9000/c",)]
     with pytest.raises(UserError):
         sources.Crossref(spark, path, attach=["nonsense"])
     spark.sql("DROP DATABASE kept CASCADE")
@@ -205,3 +207,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert "CREATE TABLE works(" in capsys.readouterr().out
     with pytest.raises(UserError):
         cli.sampler("data.__class__")
+    assert cli.main(["-d", "sql,time,files", "query", "crossref", path, "-q", "SELECT doi FROM works", "-o", out]) == 0
+    assert cli.main(["-d", "nothing", "list-sources"]) == 1
+    said = capsys.readouterr().err
+    assert "[sql] SELECT doi FROM works" in said and "[time] query" in said and "0.json.gz" in said
