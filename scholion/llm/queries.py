@@ -66,4 +66,8 @@ ORACLE = {
           FROM (SELECT DISTINCT community_id, journal_id FROM cluster_representatives WHERE community_id IS NOT NULL AND journal_id IS NOT NULL)
           LEFT JOIN (SELECT journal_id, max(citations_number) AS citations_number FROM citations2 GROUP BY 1) USING (journal_id))
         WHERE row_rank <= 10""",
+    "p10_form": f"SELECT doc_id, form FROM ({lookalike.fold_sql('documents')})",
+    "p10_found": f"""
+        WITH f AS (SELECT doc_id, text, form FROM ({lookalike.fold_sql('documents')}) JOIN documents USING (doc_id) WHERE regexp_replace(form, '[\\s\\p{{Cc}}]+', '', 'g') <> '')
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id WHERE a.text <> b.text""",
 }
