@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import csv
 import random
 import sys
 from importlib import import_module
@@ -13,6 +12,7 @@ from scholion.plans.processes import PROCESSES, SCHEMAS
 from scholion.session import local_session
 from scholion.sources.all import SOURCES
 from scholion.sources.errors import UserError
+from scholion.sources.sinks import import_table, write_rows
 
 VERSION = "0.1.0"
 
@@ -53,15 +53,7 @@ def query(args) -> None:
         if args.explain:
             result.explain("formatted")
             return
-        out = open(args.output, "w", encoding=args.encoding, newline="") if args.output else sys.stdout
-        try:
-            rows = csv.writer(out, delimiter=args.field_separator)
-            if args.header:
-                rows.writerow(result.columns)
-            rows.writerows(result.toLocalIterator())
-        finally:
-            if args.output:
-                out.close()
+        write_rows(result, args.output, args.header, args.field_separator, args.encoding)
 
 
 def populate(args) -> None:
@@ -125,6 +117,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("process")
     p.add_argument("-d", "--database", required=True)
 
+    p = sub.add_parser("import", help="make a table of a delimited file")
+    p.set_defaults(run=lambda a: import_table(local_session(a.cores), a.file, a.database, a.table, a.schema, a.field_separator))
+    p.add_argument("file")
+    p.add_argument("table")
+    p.add_argument("-d", "--database", required=True)
+    p.add_argument("--schema", help="columns and types, as in CREATE TABLE")
+    p.add_argument("-F", "--field-separator", default=",")
+
     def listing(name: str, help_: str, lines, argument: str | None = None):
         p = sub.add_parser(name, help=help_)
         if argument:

@@ -7,7 +7,7 @@ import fixtures as fx
 from scholion import cli
 from scholion.plans import processes
 from scholion.sources import all as sources
-from scholion.sources import spec
+from scholion.sources import sinks, spec
 from scholion.sources.errors import UserError
 
 
@@ -200,6 +200,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert open(out).read().splitlines() == ["doi|published_year", "10.9000/a|2020", "10.9000/b<x|", "10.9000/c|1999"]
     assert cli.main(["populate", "crossref", path, "-d", str(tmp_path / "db"), "-c", "works.doi", "-r", "published_year = 2020", "-s", "'.gz' in data"]) == 0
     assert spark.read.parquet(str(tmp_path / "db" / "works")).count() == 1
+    assert cli.main(["import", out, "years", "-d", str(tmp_path / "db"), "-F", "|", "--schema", "doi string, year int"]) == 0
+    assert spark.read.parquet(str(tmp_path / "db" / "years")).agg({"year": "sum"}).first()[0] == 2020 + 1999
+    sinks.write_parts(spark.read.parquet(str(tmp_path / "db" / "years")), str(tmp_path / "parts"))
+    sinks.import_table(spark, str(tmp_path / "parts"), str(tmp_path / "db"), "again")
+    assert spark.read.parquet(str(tmp_path / "db" / "again")).dtypes == [("doi", "string"), ("year", "string")]
     assert cli.main(["query", "nothing", path, "-q", "SELECT 1"]) == 1
     assert cli.main(["process", "nothing", "-d", path]) == 1
     for listing in (["list-sources"], ["list-processes"], ["list-source-schema", "ror"], ["list-process-schema", "link-uspto-doi"], ["list-complete-schema"], ["version"]):
