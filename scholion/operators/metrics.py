@@ -121,8 +121,8 @@ def centrality(edges: DataFrame, articles: DataFrame, alpha: float = 0.85, epsil
     journal sum to 1; a journal that cites none gives its weight to all in proportion to their articles. ``fixed`` runs
     that many rounds instead of stopping at an L1 change under ``epsilon``.
     """
-    total = articles.agg(F.sum("n").alias("all"))
-    weight = cut(articles.crossJoin(F.broadcast(total)).select("journal", (F.col("n") / F.col("all")).alias("a")))  # one row crossed
+    total = articles.agg(F.sum("n").alias("all")).scalar()
+    weight = cut(articles.select("journal", (F.col("n") / total).alias("a")))
     out = edges.where("citing <> cited").groupBy("citing").agg(F.sum("n").alias("out"))
     shares = cut(edges.where("citing <> cited").join(out, "citing").select("citing", "cited", (F.col("n") / F.col("out")).alias("h")))
     nodes = weight.join(out.select(F.col("citing").alias("journal"), F.lit(True).alias("cites")), "journal", "left").withColumn("p", F.lit(1.0) / F.lit(max(1, weight.count())))
@@ -137,8 +137,8 @@ def centrality(edges: DataFrame, articles: DataFrame, alpha: float = 0.85, epsil
         if fixed is None and moved < epsilon:
             break
     final = shares.join(state.select(F.col("journal").alias("citing"), "p"), "citing").groupBy(F.col("cited").alias("journal")).agg(F.sum(F.col("h") * F.col("p")).alias("g"))
-    all_ = final.agg(F.sum("g").alias("s"))
-    return final.crossJoin(F.broadcast(all_)).select("journal", (100 * F.col("g") / F.col("s")).alias("score"))
+    final = cut(final)
+    return final.select("journal", (100 * F.col("g") / final.agg(F.sum("g").alias("s")).scalar()).alias("score"))
 
 
 def capped_self_citations(edges: DataFrame, share: float = 0.33) -> DataFrame:
@@ -151,8 +151,13 @@ def capped_self_citations(edges: DataFrame, share: float = 0.33) -> DataFrame:
 def mean_article_score(edges: DataFrame, articles: DataFrame) -> DataFrame:
     """journal, score: cites from other journals per article, over the mean of the positive ones."""
     got = edges.where("citing <> cited").groupBy(F.col("cited").alias("journal")).agg(F.sum("n").alias("c")).join(articles, "journal").select("journal", (F.col("c") / F.col("n")).alias("per"))
-    mean = got.where("per > 0").agg(F.avg("per").alias("m"))
-    return got.crossJoin(F.broadcast(mean)).select("journal", (F.col("per") / F.col("m")).alias("score"))
+    return over_mean(got, "per")
+
+
+def over_mean(scores: DataFrame, value: str) -> DataFrame:
+    """journal, score: a value over the mean of its positive values."""
+    mean = scores.where(F.col(value) > 0).agg(F.avg(value).alias("m")).scalar()
+    return scores.select("journal", (F.col(value) / mean).alias("score"))
 
 
 def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -190,8 +195,7 @@ def context_impact(members: DataFrame, journals: DataFrame) -> DataFrame:
     journals(node, citations, publications, density). Missing densities are filled with the median; a community's
     potential is the weighted mean density of its members.
     """
-    median = journals.agg(F.median("density").alias("m"))
-    filled = journals.crossJoin(F.broadcast(median)).withColumn("density", F.coalesce("density", "m")).drop("m")
+    filled = journals.withColumn("density", F.coalesce("density", journals.agg(F.median("density").alias("m")).scalar()))
     potential = members.join(filled, "node").groupBy("community").agg((F.sum(F.col("weight") * F.col("density")) / F.sum("weight")).alias("potential"))
     own = members.join(potential, "community").groupBy("node").agg(F.sum(F.col("weight") * F.col("potential")).alias("potential"))
     rate = F.try_divide(F.col("citations").cast("double"), F.col("publications").cast("double"))
@@ -214,8 +218,8 @@ def effect_size(samples: DataFrame, group: str, value: str) -> DataFrame:
     )
     counts = rows.groupBy("v").agg(F.count(of(0, v)).alias("n0"), F.count(of(1, v)).alias("n1"))
     below = F.coalesce(F.sum("n0").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    order = counts.withColumn("below", below).agg(F.sum(F.col("n1") * F.col("below")).alias("more"), F.sum(F.col("n1") * F.col("n0")).alias("ties"))
-    both = stats.crossJoin(order)
+    order = counts.withColumn("below", below).agg(F.struct(F.sum(F.col("n1") * F.col("below")).alias("more"), F.sum(F.col("n1") * F.col("n0")).alias("ties")).alias("o"))
+    both = stats.withColumn("o", order.scalar()).select("*", "o.more", "o.ties").drop("o")
     pooled = F.sqrt((F.col("variance_0") + F.col("variance_1")) / 2)
     pairs = F.col("n_0") * F.col("n_1")
     less = pairs - F.col("more") - F.col("ties")

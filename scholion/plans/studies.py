@@ -137,8 +137,8 @@ def twenty_year_citations(t):
 @study("""WITH r AS (SELECT max(year(o_orderdate)) AS y FROM orders) SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders WHERE year(o_orderdate) BETWEEN (SELECT y FROM r) - 2 AND (SELECT y FROM r) - 1 GROUP BY 1""")
 def scalar_subquery_bounds(t):
     orders = t("orders").withColumn("y", F.year("o_orderdate"))
-    last = orders.agg(F.max("y").alias("last"))
-    return orders.crossJoin(F.broadcast(last)).where(F.col("y").between(F.col("last") - 2, F.col("last") - 1)).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    last = orders.agg(F.max("y").alias("last")).scalar()
+    return orders.where(F.col("y").between(last - 2, last - 1)).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 # ---- aggregations ----
@@ -287,9 +287,7 @@ q AS (SELECT b.issn_print AS issn, count(*) AS n FROM c JOIN w a ON a.id = c.wor
 SELECT p.issn, coalesce(q.n, 0)::BIGINT AS citations_number, p.n::BIGINT AS publications_number, round(coalesce(q.n, 0) / p.n, 6) AS impact_factor FROM p LEFT JOIN q USING (issn)""")
 def impact_factor_chain(t):
     works = _works(t)
-    # one row: the reference year
-    year = works.agg(F.max("published_year").alias("y"))
-    dated = works.crossJoin(F.broadcast(year))
+    dated = works.withColumn("y", works.agg(F.max("published_year").alias("y")).scalar())
     recent = dated.where(F.col("published_year").between(F.col("y") - 2, F.col("y") - 1) & F.col("issn_print").isNotNull()).select(F.col("issn_print").alias("issn"), F.lower(F.trim("doi")).alias("doi"))
     citing = dated.where("published_year = y").select(F.col("id").alias("work_id"))
     counts = metrics.citation_counts(_citations(t).join(citing, "work_id", "left_semi"))
@@ -536,8 +534,7 @@ def journal_centrality(t):
 def journal_prestige(t):
     edges = metrics.capped_self_citations(_journal_edges(t))
     got = metrics.centrality(edges, _articles(t)).join(_articles(t), "journal").withColumn("per", F.col("score") / F.col("n"))
-    mean = got.where("per > 0").agg(F.avg("per").alias("m"))
-    return got.crossJoin(F.broadcast(mean)).select("journal", F.round(F.col("per") / F.col("m"), 3).alias("score"))
+    return metrics.over_mean(got, "per").select("journal", F.round("score", 3).alias("score"))
 
 
 @study("""WITH e AS (SELECT s_nationkey AS journal, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1),
