@@ -232,13 +232,13 @@ def _grams(word: str) -> Iterator[tuple[str, int, int]]:
 
 
 def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spellings, nodes): each distinct spelling with its node, and each node with family, given, support and identifiers.
+    """(id and node of every row, nodes): each node with family, given, support, and the identifier its rows agree on.
 
     Where a spelling can be read in two ways, the way whose words are used so elsewhere in the corpus wins.
     """
     oid = F.regexp_extract(F.coalesce("identifier", F.lit("")), r"([0-9]{4}-?[0-9]{4}-?[0-9]{4}-?[0-9]{3}[0-9Xx])", 1)
     rows = authors.where("id is not null").select("id", "given", "family", "initials", F.upper(F.regexp_replace(F.nullif(oid, F.lit("")), "-", "")).alias("oid"))
-    spelled = rows.groupBy("given", "family", "initials").agg(F.countDistinct("id").alias("n"), F.collect_set("oid").alias("oids")).where("given is not null or family is not null")
+    spelled = rows.groupBy("given", "family", "initials").agg(F.countDistinct("id").alias("n"), F.min("oid").alias("oid"), F.max("oid").alias("last_oid")).where("given is not null or family is not null")
     spelled = spelled.withColumn("sid", F.md5(F.to_json(F.struct("given", "family", "initials"))))
 
     def ways(sid, given, family, initials, n):
@@ -263,8 +263,10 @@ def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = score.groupBy("sid").agg(F.max_by("way", F.struct((F.col("a") + F.col("b")).alias("s"), (-F.col("way")).alias("w"))).alias("way"))
     chosen = read.join(best.withColumnRenamed("way", "best"), "sid", "left").where(F.col("way") == F.coalesce("best", F.lit(0)))
     node = F.md5(F.concat_ws("|", "fam", F.array_join("giv", " ")))
-    spellings = cut(chosen.join(spelled.select("sid", "oids"), "sid").select("sid", node.alias("node"), "fam", "giv", "n", "oids"))
-    nodes = spellings.groupBy("node", "fam", "giv").agg(F.sum("n").alias("support"), F.array_distinct(F.flatten(F.collect_list("oids"))).alias("oids"))
+    spellings = cut(chosen.join(spelled.select("sid", "oid", "last_oid"), "sid").select("sid", node.alias("node"), "fam", "giv", "n", "oid", "last_oid"))
+    nodes = spellings.groupBy("node", "fam", "giv").agg(F.sum("n").alias("support"), F.min("oid").alias("oid"), F.max("last_oid").alias("last_oid"))
+    # an identifier speaks for a node only where all its rows that have one agree
+    nodes = nodes.withColumn("oid", F.when(F.col("oid") == F.col("last_oid"), F.col("oid"))).drop("last_oid")
     keyed = rows.select("id", F.md5(F.to_json(F.struct("given", "family", "initials"))).alias("sid")).join(spellings.select("sid", "node"), "sid").distinct()
     return keyed, nodes
 
@@ -333,13 +335,13 @@ def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float =
         nodes.join(family_use, "fam")
         .withColumn("g1", F.element_at("giv", 1))
         .join(given_use, "g1")
-        .select("node", "fam", "giv", "oids", F.log(F.lit(float(total)) / F.col("df") + 1).alias("wf"), F.log(F.lit(float(total)) / F.col("gdf") + 1).alias("wg"))
+        .select("node", "fam", "giv", "oid", F.log(F.lit(float(total)) / F.col("df") + 1).alias("wf"), F.log(F.lit(float(total)) / F.col("gdf") + 1).alias("wg"))
     )
     heavy = cut(heavy)
     left = heavy.select(*(F.col(c).alias(c + "_a") for c in heavy.columns))
     right = heavy.select(*(F.col(c).alias(c + "_b") for c in heavy.columns))
     joined = pairs.withColumnRenamed("node", "node_a").withColumnRenamed("other", "node_b").join(left, "node_a").join(right, "node_b")
-    agree = (F.size("oids_a") == 0) | (F.size("oids_b") == 0) | F.arrays_overlap("oids_a", "oids_b")
+    agree = F.coalesce(F.col("oid_a") == F.col("oid_b"), F.lit(True))
 
     def verify(a, b, fa, ga, fb, gb, wf, wg):
         s = compare_names(fa, ga, fb, gb, (wf, wg), forms)
