@@ -1,30 +1,30 @@
-"""Variant spellings of personal names: prefix-filtered q-gram join, verified by soft weighted token similarity.
+"""Variant spellings of personal names: deletion-key join, verified by soft weighted token similarity.
 
 Spellings are read into a family word and given words. Names that read alike form one node. The families
-of nodes meet when they share one of their rarest q-grams and the initial of a given word (the prefix
-filter: an edit changes at most ``q + 1`` q-grams of a word, so one of the ``q + 2`` rarest is shared); place,
-length and edit distance are checked where they meet. Nodes of one family, or of two near ones, become
-candidates by what their first given words may have in common, so a frequent family makes no pairs of all
-its members. Candidates are verified token by token with weights by rarity. Every node then points at the
+of nodes meet when they are equal without as many letters each as they may have errors (an error takes at
+most one letter from either word), very long ones by a fifth that no error touches; the edit distance is
+checked where they meet. Nodes of one family, or of two near ones, become candidates by what their first
+given words may have in common, so a frequent family makes no pairs of all its members. Candidates are verified token by token with weights by rarity. Every node then points at the
 fuller, better supported spelling it varies, and the roots of these pointers are the persons.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.folding import plain
 from scholion.llm.linkage import _map
 from scholion.session import cut
 
-#: q-grams of four letters; families under eight letters, which have few of them, also meet by three.
-LONG, SHORT, SHORT_WORD = 4, 3, 8
+#: Families of at least this length may differ by an error.
+SHORT_WORD = 5
 #: Families of at least this length may differ by two errors, if the given names agree word by word.
 LONG_WORD = 9
+#: Families longer than this meet by fifths, as their deletions are many.
+LONG_FAMILY = 40
 #: Given words longer than this are no names people type; they meet by their ends.
 LONG_GIVEN = 40
 
@@ -61,6 +61,8 @@ def sound(word: str) -> str:
     return word.replace("ph", "f").replace("ck", "k").replace("th", "t").replace("y", "i").replace("c", "k").replace("w", "v").replace("q", "k").replace("z", "s")
 
 
+#: Single letters of equal sound.
+_EVEN = str.maketrans("ycwqz", "ikvks")
 _SPLIT = re.compile(r"[^\w'’-]+")
 
 
@@ -207,7 +209,7 @@ def compare_names(fa: str, ga: list[str], fb: str, gb: list[str], weight: tuple[
         family = 1.0
     elif sound(fa) == sound(fb):
         family = 0.97
-    elif min(len(fa), len(fb)) >= 5 and (_edit1(fa, fb) or _edit1(sound(fa), sound(fb))):
+    elif min(len(fa), len(fb)) >= SHORT_WORD and (_edit1(fa, fb) or _edit1(sound(fa), sound(fb))):
         family = 0.9
     elif min(len(fa), len(fb)) >= LONG_WORD and min(_edits(fa, fb, 2), _edits(sound(fa), sound(fb), 2)) <= 2:
         family = 0.8
@@ -221,14 +223,25 @@ def compare_names(fa: str, ga: list[str], fb: str, gb: list[str], weight: tuple[
     return score
 
 
-def _grams(word: str) -> Iterator[tuple[str, int, int]]:
-    """(gram, place, number of rare grams that make up the prefix) of a family word."""
-    w = f"^{word}$"
-    for q in (LONG, SHORT):
-        if q == LONG and len(word) < SHORT_WORD - 1 or q == SHORT and len(word) > SHORT_WORD:
-            continue
-        for i in range(max(1, len(w) - q + 1)):
-            yield w[i : i + q], i, q + 2
+def _forms(fam: str) -> set[str]:
+    """The spellings by which a family is compared: by sound, and with single letters of equal sound made equal
+    (an error may break a pair of letters that stands for one sound)."""
+    return {sound(fam), fam.translate(_EVEN)}
+
+
+def _family_keys(form: str, edits: int) -> set[str]:
+    """Keys of which two forms within ``edits`` errors share one."""
+    n, out = len(form), set()
+    if n <= LONG_FAMILY:
+        out = last = {form}
+        for _ in range(edits):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            out = out | last
+    if n > LONG_FAMILY - 2:  # two errors touch at most four fifths; the one left may stand two letters off
+        for size in range(n - 2, n + 3):
+            at = [size * k // 5 for k in range(6)]
+            out = out | {f"{size} {k} {form[at[k] + off : at[k + 1] + off]}" for k in range(5) for off in range(-2, 3) if 0 <= at[k] + off <= at[k + 1] + off <= n}
+    return out
 
 
 def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -275,23 +288,20 @@ def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
 _MEET = "role = 'D' and role_b = 'D' or role = 'S' and role_b = 'L' or role = 'L' and role_b = 'S' or role = 'I' and role_b in ('I', 'F') or role = 'F' and role_b = 'I'"
 
 
-def _firsts(given: list[str], forms: dict[str, set[str]]) -> set[str]:
-    first = given[0].replace("-", "")
-    return {first[0]} | {f[0] for f in forms.get(first, ())}
-
-
 def _given_keys(given: list[str], forms: dict[str, set[str]]) -> set[str]:
     """Keys, led by their role, of which ``given_match`` needs two names to share one."""
     first, whole = given[0].replace("-", ""), "".join(given).replace("-", "")
     if len(first) == 1:
         words, out = {whole}, {"I" + first}
     else:
-        words, out = {first, whole}, {"F" + first[0], "S" + first[:LONG_GIVEN], *("L" + first[:k] for k in range(3, min(len(first) - 1, LONG_GIVEN)))}
+        words, out = {first, whole}, {"F" + first[0], "S" + first[:LONG_GIVEN], *("L" + first[:k] for k in range(3, min(len(first) - 1, LONG_GIVEN + 1)))}
+        if len(given) > 1 and len(given[0]) < 3:  # a name written apart
+            out |= {"L" + whole[:k] for k in range(2, min(len(whole), LONG_GIVEN) + 1)}
     out |= {"D" + f for f in forms.get(first, ())}
     for w in words:
-        if len(w) > LONG_GIVEN:  # one error leaves either end as it is
-            out |= {"D" + w[: LONG_GIVEN // 2] + "<", "D>" + w[-LONG_GIVEN // 2 :]}
-        else:
+        if len(w) >= LONG_GIVEN:  # one error leaves either end as it is
+            out |= {"D" + w[: LONG_GIVEN // 2 - 1] + "<", "D>" + w[1 - LONG_GIVEN // 2 :]}
+        if len(w) <= LONG_GIVEN:
             out |= {"D" + w, *("D" + w[:i] + w[i + 1 :] for i in range(len(w)))}
     return out
 
@@ -301,22 +311,30 @@ def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float =
 
     def units(node, fam, giv):
         word = sound(fam)
-        yield node, word, sorted(_firsts(giv, forms)), list(_given_keys(giv, forms))
-
-    def grams(word, first):
-        for g, at, most in _grams(word):
-            yield word, first, g, at, most
-
-    of = cut(_map(nodes.select("node", "fam", "giv"), units, "node string, word string, firsts array<string>, keys array<string>"))
-    families = of.select("word", F.explode("firsts").alias("first")).distinct()
-    all_grams = _map(families, grams, "word string, first string, gram string, place int, most int")
-    frequency = all_grams.groupBy("gram").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("word", "first", "most").orderBy("df", "gram", "place")
-    ranked = all_grams.join(frequency, "gram").withColumn("r", F.row_number().over(order))
-    prefix = cut(ranked.where(F.col("r") <= F.col("most")).select("word", "first", "gram", "place"))
-    other = prefix.select(F.col("word").alias("word_b"), "first", "gram", F.col("place").alias("place_b"))
-    close = (F.col("word") < F.col("word_b")) & (F.abs(F.col("place") - F.col("place_b")) <= 2) & (F.abs(F.length("word") - F.length("word_b")) <= 2)
-    near = cut(prefix.join(other, ["first", "gram"]).where(close).where(F.levenshtein("word", "word_b", 3) >= 0).select("word", "word_b").distinct())
+        yield node, word, list(_given_keys(giv, forms))
+
+    def spelled(fam):
+        edits = 2 if len(fam) >= LONG_WORD else 1 if len(fam) >= SHORT_WORD else 0
+        for form in _forms(fam) if edits else ():
+            yield sound(fam), form, edits
+
+    def form_keys(form, edits):
+        yield form, list(_family_keys(form, edits))
+
+    def check(form, form_b):
+        if _edits(form, form_b, 2) <= 2:
+            yield form, form_b
+
+    of = cut(_map(nodes.select("node", "fam", "giv"), units, "node string, word string, keys array<string>"))
+    spellings = cut(_map(nodes.select("fam").distinct(), spelled, "word string, form string, edits int").groupBy("word", "form").agg(F.max("edits").alias("edits")))
+    every = _map(spellings.groupBy("form").agg(F.max("edits").alias("edits")), form_keys, "form string, keys array<string>")
+    every = every.select("form", F.explode("keys").alias("key")).select("form", F.xxhash64("key").alias("key"))
+    met = every.join(every.withColumnRenamed("form", "form_b"), "key").where("form < form_b").select("form", "form_b").distinct()
+    alike = cut(_map(met, check, "form string, form_b string"))
+    alike = alike.unionByName(spellings.select("form", F.col("form").alias("form_b")).distinct())
+    one, two = spellings.select("word", "form"), spellings.select(F.col("word").alias("word_b"), F.col("form").alias("form_b"))
+    near = alike.join(one, "form").join(two, "form_b").where("word <> word_b")
+    near = cut(near.select(F.least("word", "word_b").alias("word"), F.greatest("word", "word_b").alias("word_b")).distinct())
 
     # within a family, and between near ones, nodes meet by what their first given words may have in common, never all with all
     shared = of.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word")

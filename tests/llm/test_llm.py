@@ -1,4 +1,5 @@
 import base64
+import random
 import unicodedata
 
 import pytest
@@ -207,6 +208,27 @@ def test_given_keys_miss_no_match(a, b):
     assert any(x[1:] == y[1:] and (x[0], y[0]) in met for x in ka for y in kb), (a, b)
 
 
+def test_name_links_meet_whatever_compare_accepts(spark):
+    rng = random.Random(5)
+    syllables = ["bar", "ken", "thor", "phil", "mick", "zan", "wy", "quo", "lem", "dris"]
+
+    def wrong(word, errors):
+        for _ in range(errors):
+            i, c = rng.randrange(len(word) - 1), rng.choice("aehkszv")
+            word = rng.choice([word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + c + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :]])
+        return word
+
+    people = [("barkenthorlem", ["katherine"]), ("barkentohrlme", ["catherine"]), ("x" * 60 + "kenlemzan" * 3, ["jo", "hannes", "karl"]), ("x" * 60 + "kenelmzan" * 2 + "kenlemzna", ["johannes"])]
+    for k in range(90):
+        fam, given = "".join(rng.choices(syllables, k=rng.choice([2, 3, 3, 4, 15]))), [rng.choice(["katherine", "johannes", "ingrid"])]
+        people += [(fam, given), (wrong(fam, 1 + k % 2), [wrong(given[0], k % 3 // 2)]), (wrong(fam, 2), given)]
+    people = sorted({(f, tuple(g)) for f, g in people})
+    nodes = spark.createDataFrame([(str(i), f, list(g), None, 1) for i, (f, g) in enumerate(people)], "node string, fam string, giv array<string>, oid string, support bigint")
+    got = {(r.a, r.b) for r in names.name_links(nodes, {}, threshold=0.1).collect()}
+    accepted = {(str(i), str(j)) for i, (fa, ga) in enumerate(people) for j, (fb, gb) in enumerate(people) if str(i) < str(j) and names.compare_names(fa, list(ga), fb, list(gb), (1.0, 1.0), {})}
+    assert len(accepted) > 150 and {(a, b) for a, b in got if a < b} == accepted
+
+
 def test_initials_of_two_people_stay_apart(spark):
     rows = [(1, "Patricia", "Grolventis", "P"), (2, "Philippa", "Grolventis", "P"), (3, "P.", "Grolventis", "P"), (4, "Patrcia", "Grolventis", "P")]
     df = spark.createDataFrame([(*r, None) for r in rows], "id bigint, given string, family string, initials string, identifier string")
