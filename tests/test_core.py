@@ -159,6 +159,40 @@ def test_multivalue_titles_and_issns(spark, rows):
     assert {k: [v for _, v in sorted(x)] for k, x in got.items() if k < 11} == {1: ["1234567X", "87654321"], 2: ["11111111", "22222222"], 3: ["33333333", "44444444"], 4: ["55555555", "66666666"], 8: ["12121212", "34343434"], 10: ["12345678"] * 2}
 
 
+def test_multivalue_long_values_are_not_torn(spark):
+    words = ["birds", "input", "output", "the", "series", "problem"]
+    title = lambda n: " ".join(words[i % 6] + ("," if i % 10 == 9 and i < n - 1 else "") for i in range(n))
+    # short titles whose commas never part, some packed with slashes; then one of 600 words, two of 2000 in one field
+    data = [f"{title(25)} of sample {'abc'[i % 3]}" for i in range(60)] + [f"{title(25)} of sample a / {title(25)} of sample b"] * 10 + [title(600), title(2000) + " of sample a / " + title(1999) + " of sample b"]
+    df = spark.createDataFrame(list(enumerate(data)), "id bigint, title string")
+    got = {}
+    for r in multivalue.split_column(df, "id", "title", multivalue.PROSE).collect():
+        got.setdefault(r.id, []).append((r.pos, r.value))
+    assert set(got) == {*range(60, 70), 71}
+    assert [v for _, v in sorted(got[71])] == [title(2000) + " of sample a", title(1999) + " of sample b"]
+
+
+def test_multivalue_split_is_the_best_split():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "Cd", "x,", "y;", "z"], p=[0.3, 0.3, 0.1, 0.1, 0.05, 0.15]) for _ in range(n)) for n in rng.integers(1, 400, 120)]
+    model = multivalue.Segmenter({"a", "b", "x", "y"}, multivalue.PROSE)
+    model.learn(model.count(texts))
+    for text in texts:
+        f = multivalue.read_field(text, model.delimiters)
+        kinds, n = [model.kind(w) for w in f.words], len(f.words)
+        gain = {n: 0.0}
+        for k in range(1, n):
+            if f.forms[k] is not None:
+                part = model.part.get(f.forms[k], 0.5)
+                gain[k] = np.log(part / (1 - part)) + sum(sign * model._score(name, kinds[at]) for sign, name, at in [(1, "end", k - 1), (1, "begin", k), (-1, "left", k - 1), (-1, "right", k)])
+        score = lambda cuts: sum(gain[b] + model.length[min(multivalue.MAX_LENGTH, b - a)] for a, b in zip([0, *cuts], cuts))
+        best = {0: 0.0}
+        for j in sorted(gain):
+            best[j] = max(best[i] + model.length[min(multivalue.MAX_LENGTH, j - i)] + gain[j] for i in best)
+        cuts = np.cumsum([len(multivalue.read_field(v, model.delimiters).words) for v in model.split(text)]).tolist()
+        assert abs(score(cuts) - best[n]) < 1e-6
+
+
 def test_text_functions(spark):
     cases = [("10.9/A", "10.9/a"), ("10.9/a 10.9/a", "10.9/a"), ("10.9/a b", "10.9/ab"), ("10.9/&amp;lt;x", "10.9/<x"), (None, None)]
     df = spark.createDataFrame(cases, "a string, b string")
