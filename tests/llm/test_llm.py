@@ -262,3 +262,12 @@ def test_affiliation_links(spark):
     assert 90 not in got
     assert linkage.affiliation_links(aff.limit(0), org).count() == 0
     assert linkage.affiliation_links(aff, org.limit(0)).count() == 0
+
+
+def test_affiliations_find_names_of_three_letters_and_numbers(spark):
+    orgs = [(1, "University of Ulm", None, "Ulm"), (2, "Institute 404", None, "Dorpat"), (3, "Pirvanek Foundation", None, "Lomas")]
+    texts = {"Dept of Catalysis, University of Ulm": {1}, "Universität Ulm, Ulm": {1}, "Institute 404, 12404 Dorpat": {2}, "Pirvanek Foundation, Lomas": {3}, "Ulm Tourist Office, 404 Lomas": set()}
+    aff = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id bigint, affiliation string, identifier string")
+    org = spark.createDataFrame(orgs, "id bigint, name string, grid string, address_city string")
+    got = {(r.affiliation_id, r.ror_id) for r in linkage.affiliation_links(aff, org).collect()}
+    assert got == {(i, k) for i, want in enumerate(texts.values()) for k in want}
