@@ -271,3 +271,21 @@ def test_affiliations_find_names_of_three_letters_and_numbers(spark):
     org = spark.createDataFrame(orgs, "id bigint, name string, grid string, address_city string")
     got = {(r.affiliation_id, r.ror_id) for r in linkage.affiliation_links(aff, org).collect()}
     assert got == {(i, k) for i, want in enumerate(texts.values()) for k in want}
+
+
+def test_affiliations_name_several_organisations_by_one_word(spark):
+    orgs = [
+        (1, "University of Kelburn", None, "Tarnak"), (2, "Kelburn University Hospital", None, "Tarnak"), (3, "University of Lomas", None, "Lomas"), (4, "Lomas University Hospital", None, None),
+        (5, "Sivonar", None, "Tarnak"), (6, "Sivonar Foundation", None, "Alban"), (7, "Lomas", None, "Alban"),
+    ]
+    texts = {
+        "University of Kelburn; Kelburn University Hospital, Tarnak": {1, 2}, "Kelburn Univ. Hosp. and University of Kelburn, Tarnak": {1, 2}, "Kelburn Tourist Office; Kelburn University Hospital, Tarnak": {2}, "University of Kelburn, University of Kelburn, Tarnak": {1},
+        "Lomas University Hospital, Lomas": {4}, "University of Lomas, 12345 Lomas": {3}, "Lomas; Lomas University Hospital": {4}, "Sivonar, Tarnak; Sivonar Foundation, Alban": {5, 6},
+    }
+    plain = ["University of Kelburn, Tarnak", "Sivonar Foundation, Alban", "Lomas University Hospital", "Kelburn Software Ltd, Alban"] * 5
+    aff = spark.createDataFrame([(i, t, None) for i, t in [*enumerate(texts), *enumerate(plain, 1000)]], "id bigint, affiliation string, identifier string")
+    org = spark.createDataFrame(orgs, "id bigint, name string, grid string, address_city string")
+    got = {}
+    for r in linkage.affiliation_links(aff, org).collect():
+        got.setdefault(r.affiliation_id, set()).add(r.ror_id)
+    assert {t: got.get(i, set()) for i, t in enumerate(texts)} == texts
