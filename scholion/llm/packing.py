@@ -45,9 +45,9 @@ def token_counts(documents: DataFrame, tokenizers: list[str], folder: str = DEFA
 def pack_lengths(lengths: list[int], capacity: int, tiers: int = 4) -> tuple[list[list[int]], list[int]]:
     """Packs items (all 1..capacity long) into containers: lists of item indices, and the tier of each container.
 
-    Items are routed to size tiers, (C/2, C], (C/4, C/2] and so on, the last tier open downwards. The
-    tiers are packed from the longest; each container opens with the longest item left in its tier, and
-    its gap is filled with the longest items that fit, from its own and the shorter tiers. Equal lengths
+    Best-fit decreasing over one stock: each container opens with the longest item left, and its gap is filled
+    with the longest items that fit. As tiers part the sizes, (C/2, C], (C/4, C/2] and so on, the last open downwards,
+    packing them from the longest and filling from shorter ones is the same; they are only reported. Equal lengths
     are taken in index order. Work is by the stock of distinct lengths, of which there are at most
     ``capacity``, so the cost grows with the items, not with their pairs.
     """
