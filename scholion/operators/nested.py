@@ -18,7 +18,8 @@ class NestedTable:
     """A list in a record: its table, the path from the record (or from an element of ``parent``), and its columns.
 
     columns maps a column to its path in the element; a column whose path is ``$`` takes an element given
-    as a bare string. bits: width of the position in the packed id, (parent id << bits) | position.
+    as a bare string. bits: width of the position in the packed id, (parent id << bits) | position; positions that
+    don't fit get ids of their own below zero.
     """
 
     name: str
@@ -29,6 +30,9 @@ class NestedTable:
     columns: dict[str, str] = field(default_factory=dict)
 
 
+#: Width of the positions that don't fit their table's bits.
+WIDE = 20
+
 ENVELOPES = {"crossref": "message", "pubmed": "PubmedArticle", "datacite": "attributes"}
 ROOT_KEYS = {"crossref": ("doi", "$.DOI"), "pubmed": ("article_pubmed_id", "$.MedlineCitation.PMID"), "datacite": ("doi", "$.doi")}
 
@@ -73,6 +77,15 @@ def _list(value: str, path: str) -> str:
     return f"coalesce(try_variant_get({value}, {p}, 'array<variant>'), array(variant_get({value}, {p}, 'variant')))"
 
 
+def _packed(parent: str, position: str, bits: int) -> str:
+    """SQL for the id of a list element. A position beyond ``bits`` is packed with WIDE bits into a negative id, so it
+    meets no other; one that fits neither way is an error."""
+    wide = f"~(shiftleft({parent}, {WIDE}) | {position})"
+    error = f"cast(raise_error('position ' || {position} || ' of parent ' || {parent} || ' fits no id') as bigint)"
+    fits = f"{parent} between 0 and {(1 << 63 - WIDE) - 1} and {position} < {1 << WIDE}"
+    return f"(case when {parent} is null then null when ({parent} >= 0 or record_id < 0) and {position} < {1 << bits} then shiftleft({parent}, {bits}) | {position} when {fits} then {wide} else {error} end)"
+
+
 def _present(value: str) -> str:
     return f"({value} is not null and not is_variant_null({value}))"
 
@@ -124,13 +137,13 @@ def flat_table(records: DataFrame, name: str) -> DataFrame:
     by_name = {t.name: t for t in tables}
     t = by_name[name]
     up = by_name.get(t.parent) if t.parent else None
-    parent_id = "record_id" if up is None else f"(shiftleft(record_id, {up.bits}) | h)"
+    parent_id = "record_id" if up is None else _packed("record_id", "h", up.bits)
     cols = []
     for k, (c, p) in enumerate(t.columns.items()):
         own = f"try_variant_get(e, {_literal(p)}, 'string')"
         bare = "if(schema_of_variant(e) = 'STRING', try_variant_get(e, '$', 'string'), null)"
         cols.append(f"{f'coalesce({own}, {bare})' if k == 0 and p != '$' else own} as `{c}`")
-    row = f"struct(shiftleft({parent_id}, {t.bits}) | i as id, {parent_id} as `{t.key}`, i as position, {', '.join(cols)})"
+    row = f"struct({_packed(parent_id, 'i', t.bits)} as id, {parent_id} as `{t.key}`, i as position, {', '.join(cols)})"
     key, at = ROOT_KEYS[source]
     docs = parsed(records.where(F.lower(F.trim("source")) == source))
     return docs.select(

@@ -129,6 +129,17 @@ def test_nested_paths(spark, rows):
     assert rows(nested.element_paths(records.limit(0))) == []
 
 
+def test_nested_ids_of_long_lists_stay_apart(spark):
+    author = '{"LastName":"%s","AffiliationInfo":[%s]}'
+    lists = [",".join('{"Affiliation":"%d"}' % i for i in range(n)) for n in (40, 20, 1)]
+    body = '{"MedlineCitation":{"Article":{"AuthorList":{"Author":[' + ",".join(author % x for x in zip("abc", lists)) + "]}}}}"
+    records = spark.createDataFrame([(1, "pubmed", body), (2, "pubmed", body)], "record_id bigint, source string, body string")
+    got = nested.flat_table(records, "pubmed_author_affiliations").collect()
+    authors = {r.id for r in nested.flat_table(records, "pubmed_authors").collect()}
+    assert len(got) == len({r.id for r in got}) == 2 * 61 and {r.author_id for r in got} == authors
+    assert all(r.id == (r.author_id << 4) | r.position if r.position < 16 else r.id < 0 for r in got)
+
+
 def test_multivalue_titles_and_issns(spark, rows):
     heads = ["Notes on the", "Towards a", "Study of the"]
     tails = ["problem", "series", "sample"]
