@@ -1,68 +1,41 @@
-"""Variant spellings of personal names: deletion-key join, verified by soft weighted token similarity.
-
-Spellings are read into a family word and given words. Names that read alike form one node. The families
-of nodes meet when they are equal without as many letters each as they may have errors (an error takes at
-most one letter from either word), very long ones by a fifth that no error touches; the edit distance is
-checked where they meet. Nodes of one family, or of two near ones, become candidates by what their first
-given words may have in common, so a frequent family makes no pairs of all its members. Candidates are verified token by token with weights by rarity. Every node then points at the
-fuller, better supported spelling it varies, and the roots of these pointers are the persons.
+"""Variant spellings of personal names: prefix-filtered q-gram join of tokens, soft weighted token similarity of names.
+
+Spellings are read into a family word and given words; names that read alike form one node. All words of the
+corpus, families and given words, are sets of positional q-grams. One self-join finds the words that differ by few errors:
+each word is indexed by a prefix of three disjoint grams, of which the errors allowed spoil at most two, and probed
+with its grams at the places to which they may have moved. So the prefix filter loses no pair, at any length. Short forms
+come from the list given and from given words that stand for each other under one identifier.
+
+A name then meets others by (family word, first given word): by its own words and by the *more frequent* words near
+them, so that rare misspellings go to the usual spelling and never the other way. Initials meet given words of one
+family by their letter. Where names meet, soft token similarity is computed in place, with weights by rarity. Every
+node points at the fuller, better supported spelling it varies, and the roots of these pointers are the persons.
+
+Nodes and spellings are known by 64-bit hashes, with less than one expected collision in 10**9 names.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.folding import plain
 from scholion.llm.linkage import _map
 from scholion.session import cut
 
-#: Families of at least this length may differ by an error.
-SHORT_WORD = 5
+#: Families and given words of at least this length may differ by an error.
+SHORT_WORD, SHORT_GIVEN = 5, 3
 #: Families of at least this length may differ by two errors, if the given names agree word by word.
 LONG_WORD = 9
-#: Families longer than this meet by fifths, as their deletions are many.
-LONG_FAMILY = 40
-#: Given words longer than this are no names people type; they meet by their ends.
-LONG_GIVEN = 40
 
 # Words before a family name, and words after a name that are no part of it.
 PARTICLES = {"von", "van", "der", "den", "de", "da", "di", "del", "della", "dos", "do", "du", "des", "la", "le", "el", "al", "bin", "ibn", "ben", "abu", "ter", "ten", "zu", "zur", "af", "av", "st", "san", "vande"}
 TITLES = {"md", "phd", "jr", "sr", "ii", "iii", "iv", "2nd", "3rd", "4th", "dr", "prof", "msc", "bsc", "ba", "ma", "mph", "dds", "rn", "esq", "mbbs", "mba", "junior", "senior"}
+# Letters of equal sound, replaced in this order.
+SOUNDS = (("ph", "f"), ("ck", "k"), ("th", "t"), ("y", "i"), ("c", "k"), ("w", "v"), ("q", "k"), ("z", "s"))
 
-# Usual short forms of given names that are no beginnings of them.
-SHORT_FORMS = {
-    "abigail": "gail abby", "agnes": "aggie nessa", "albert": "bert", "alexander": "sasha sandy alex xander sander", "alexandra": "sasha sandra alex lexi sandy", "andrew": "drew andy", "ann": "nan annie",
-    "anthony": "tony toni", "arthur": "art artie", "barbara": "babs barb bobbie", "benjamin": "benny benji ben", "catherine": "kate katie kathy cathy kitty cat", "charles": "charlie chuck", "charlotte": "lottie charlie",
-    "christina": "tina chris", "christopher": "kit chris topher", "daniel": "danny dan", "david": "dave", "deborah": "debbie deb debby", "donald": "don", "dorothy": "dot dottie dolly dory", "edward": "ted ned eddie ed",
-    "eleanor": "nell nora ellie nellie lenny", "elizabeth": "liz beth betty lizzie bess eliza libby", "emily": "millie em", "eugene": "gene", "francis": "frank", "frederick": "freddy fritz fred", "gabriel": "gabe",
-    "george": "georgie", "gregory": "greg", "harold": "harry hal", "helen": "nell nellie", "henry": "harry hank hal", "isabella": "bella izzy belle", "jacob": "jake", "james": "jim jimmy jamie", "janet": "jan",
-    "jennifer": "jenny jen", "john": "jack johnny", "jonathan": "jon jonny", "joseph": "joe joey", "joshua": "josh", "katherine": "kate katie kathy kitty kay", "kenneth": "ken kenny", "lawrence": "larry laurie",
-    "leonard": "len lenny leo", "louise": "lou", "margaret": "peggy meg maggie madge greta daisy", "mary": "molly polly", "matthew": "matt", "michael": "mike mick mickey", "nathaniel": "nate nat", "nicholas": "nick nico klaus",
-    "patricia": "pat patty trish", "patrick": "paddy pat", "philippa": "pip pippa", "rebecca": "becky becca", "richard": "dick rick rich", "robert": "bob bobby rob bert", "ronald": "ron", "rosalind": "roz ros", "samuel": "sam",
-    "stephanie": "steph steffi", "stephen": "steve", "susanna": "sue susie", "theodora": "thea dora", "theodore": "ted theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky tori", "vincent": "vince vinny",
-    "walter": "wally walt", "william": "bill will billy liam", "zacharias": "zach zack", "karl": "kalle", "ekaterina": "katya", "maria": "masha mia", "natalia": "natasha", "mikhail": "misha", "dmitri": "dima", "vladimir": "vova",
-}
-
-
-def short_forms(listed: list[tuple[str | None, str | None]]) -> dict[str, set[str]]:
-    """Short form to full forms, from the list given and the usual ones."""
-    out: dict[str, set[str]] = {}
-    pairs = [(g, n) for g, ns in SHORT_FORMS.items() for n in ns.split()] + [(plain(g), plain(n)) for g, n in listed if g and n]
-    for g, n in pairs:
-        out.setdefault(n, set()).add(g)
-    return out
-
-
-def sound(word: str) -> str:
-    """A family word with letters of equal sound made equal."""
-    return word.replace("ph", "f").replace("ck", "k").replace("th", "t").replace("y", "i").replace("c", "k").replace("w", "v").replace("q", "k").replace("z", "s")
-
-
-#: Single letters of equal sound.
-_EVEN = str.maketrans("ycwqz", "ikvks")
 _SPLIT = re.compile(r"[^\w'’-]+")
 
 
@@ -113,266 +86,261 @@ def read_name(given: str | None, family: str | None, initials: str | None) -> li
     return [(a, b) for a, b in ways if a and b]
 
 
-def _edit1(a: str, b: str) -> bool:
-    """Equal but for one letter changed, left out, put in, or two neighbours exchanged."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    n = min(len(a), len(b))
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    x, y = a[i : len(a) - j], b[i : len(b) - j]
-    return len(x) <= 1 and len(y) <= 1 or (len(x) == len(y) == 2 and x == y[::-1])
-
-
-def _edits(a: str, b: str, most: int) -> int:
-    """Edit distance with exchanged neighbours as one edit, or ``most`` + 1 when it is more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    n, far = len(b), most + 1
-    before, last = [far] * (n + 1), [min(j, far) for j in range(n + 1)]
-    for i, x in enumerate(a, 1):
-        row = [far] * (n + 1)
-        low, high = max(1, i - most), min(n, i + most)
-        row[low - 1] = min(i, far) if low == 1 else far
-        for j in range(low, high + 1):  # a path of few edits stays near the diagonal
-            y = b[j - 1]
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row[j] = min(d, far)
-        if min(row[low - 1 : high + 1]) >= far:
-            return far
-        before, last = last, row
-    return last[-1]
-
-
-def _same_given(a: str, b: str, forms: dict[str, set[str]]) -> float:
-    """Similarity of two given words: 1 equal, 0.95 short form, 0.9 one typing error, 0.6 initial, 0 different."""
-    a, b = a.replace("-", ""), b.replace("-", "")
-    if a == b:
-        return 1.0
-    if len(a) == 1 or len(b) == 1:
-        return 0.6 if a[0] == b[0] else 0.0
-    full_a, full_b = forms.get(a, set()), forms.get(b, set())
-    if a in full_b or b in full_a or full_a & full_b:
-        return 0.95
-    short, long_ = sorted((a, b), key=len)
-    if len(short) >= 3 and long_.startswith(short) and len(long_) - len(short) >= 2:
-        return 0.95
-    if len(short) >= 3 and _edit1(a, b):
-        return 0.9
-    return 0.0
-
-
-def _initials(words: list[str]) -> str:
-    return "".join(p[0] for w in words for p in w.split("-") if p)
-
-
-def given_match(a: list[str], b: list[str], forms: dict[str, set[str]]) -> tuple[float, int, int] | None:
-    """(mean similarity, words of a beyond b, words of b beyond a), or None for given names that differ.
-
-    Words are aligned in order; a name may leave out later words, write them as initials, or split a
-    hyphened name into initials.
+def sound(word: Column) -> Column:
+    """A word with letters of equal sound made equal."""
+    for a, b in SOUNDS:
+        word = F.replace(word, F.lit(a), F.lit(b))
+    return word
+
+
+# ---- words ----
+
+
+def _places(length: Column) -> list[tuple[Column, Column]]:
+    """(start, size) of the three disjoint grams of a word of ``length`` letters; they cover it."""
+    q, rest = F.floor(length / 3).cast("int"), length % 3
+    second = q + (rest == 2).cast("int")
+    return [(F.lit(1), q), (1 + q, second), (1 + q + second, q + (rest >= 1).cast("int"))]
+
+
+#: Moves of the grams 1, 2 and 3 by the length a word has beyond another: with two errors, and with one (or an exchange of neighbours).
+_TWO = {0: [(0, 0), (1, -1), (1, 0), (1, 1), (2, 0)], 1: [(0, 0), (1, 0), (1, 1), (2, 1)], 2: [(0, 0), (1, 1), (2, 2)]}
+_ONE = {0: [(0, 0), (1, 0), (2, 0)], 1: [(0, 0), (2, 1)]}
+
+
+def _gram(kind: Column, length: Column, k: int, gram: Column) -> Column:
+    return F.xxhash64(kind, length, F.lit(k), gram)
+
+
+def index_grams(kind: Column, word: Column) -> Column:
+    """The prefix of a word: its three disjoint grams with their places."""
+    n = F.length(word)
+    return F.array(*(_gram(kind, n, k, F.substring(word, at, size)) for k, (at, size) in enumerate(_places(n))))
+
+
+def probe_grams(kind: Column, word: Column, long: Column) -> Column:
+    """The grams by which a word meets the prefix of every word near it that isn't longer.
+
+    An error moves what follows it by at most one place, so of the three grams of the shorter word one stands
+    whole in the longer, moved by what the errors before it leave possible.
     """
-    if all(len(x) == 1 for x in a) or all(len(x) == 1 for x in b):
-        ia, ib = _initials(a), _initials(b)
-        n = min(len(ia), len(ib))
-        return (0.6, len(ia) - n, len(ib) - n) if ia[:n] == ib[:n] else None
-    n = min(len(a), len(b))
-    sims = [_same_given(x, y, forms) for x, y in zip(a, b)]
-    if min(sims) > 0:
-        return sum(sims) / n, len(a) - n, len(b) - n
-    whole_a, whole_b = "".join(a).replace("-", ""), "".join(b).replace("-", "")
-    if _edit1(whole_a, whole_b) or (len(b[0]) > 2 and whole_a.startswith(b[0].replace("-", "")) and len(a) > 1 and len(a[0]) < 3):
-        return 0.9, 0, 0
-    return None
-
-
-def information(given: list[str]) -> int:
-    """How much a spelling tells of the given names: full words count for more than initials."""
-    return sum(10 if len(w) > 1 else 1 for w in given)
+    n = F.length(word)
+    out = []
+    for less, moves in _TWO.items():
+        own = n - less
+        for k, move in moves:
+            at, size = _places(own)[k]
+            two = long & (own >= LONG_WORD)
+            allowed = F.lit(True) if (k, move) in _ONE.get(less, []) else two
+            fits = (at + move >= 1) & (at + move + size - 1 <= n) & (own >= 3)
+            out.append(F.when(allowed & fits, _gram(kind, own, k, F.substring(word, at + move, size))))
+    return F.array_compact(F.array(*out))
+
+
+def exchanged(a: Column, b: Column) -> Column:
+    """Whether two neighbouring letters are exchanged, and all else is equal."""
+    return (F.length(a) == F.length(b)) & F.exists(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - 1)),
+        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b,
+    )
+
+
+def one_error(a: Column, b: Column, least: int) -> Column:
+    """Equal but for one letter changed, left out or put in, or two neighbours exchanged; both of ``least`` letters or more."""
+    d = F.levenshtein(a, b, 2)
+    return (F.least(F.length(a), F.length(b)) >= least) & (d.between(0, 1) | ((d == 2) & exchanged(a, b)))
+
 
+def two_errors(a: Column, b: Column) -> Column:
+    """Families of LONG_WORD letters and more within an edit distance of two."""
+    return (F.least(F.length(a), F.length(b)) >= LONG_WORD) & F.levenshtein(a, b, 2).between(0, 2)
 
-def compare_names(fa: str, ga: list[str], fb: str, gb: list[str], weight: tuple[float, float], forms: dict[str, set[str]]) -> float:
-    """Soft weighted token similarity of two names, 0 when they contradict each other.
 
-    The family word and the given words carry weights by their rarity; each word counts with the
-    similarity of its partner.
+def near_words(words: DataFrame) -> DataFrame:
+    """(kind, small, big): pairs of words (kind ``f`` or ``g``, word, df) that differ by few errors; ``big`` is the more frequent."""
+    k, w = F.col("kind"), F.col("word")
+    long = (k == "f") & (F.length(w) >= LONG_WORD)
+    able = words.where(F.length(w) >= F.when(k == "f", SHORT_WORD).otherwise(SHORT_GIVEN))
+    index = able.select("kind", "word", "df", F.explode(index_grams(k, w)).alias("gram"))
+    probe = able.select(F.col("kind").alias("kind_b"), F.col("word").alias("word_b"), F.col("df").alias("df_b"), F.explode(probe_grams(k, w, long)).alias("gram"))
+    a, b = F.col("word"), F.col("word_b")
+    near = F.when(k == "f", one_error(a, b, SHORT_WORD) | two_errors(a, b)).otherwise(one_error(a, b, SHORT_GIVEN))
+    met = index.join(probe, "gram").where((k == F.col("kind_b")) & (a != b) & near)
+    return _ordered(met.select("kind", "word", "df", "word_b", "df_b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    up = F.struct("df", "word") < F.struct("df_b", "word_b")
+    return pairs.select("kind", F.when(up, F.col("word")).otherwise(F.col("word_b")).alias("small"), F.when(up, F.col("word_b")).otherwise(F.col("word")).alias("big"))
+
+
+def short_forms(nicknames: DataFrame, rows: DataFrame, families: int = 2) -> DataFrame:
+    """(short, full): the list given, and what the identifiers teach.
+
+    Learned are two given words (neither initials) that are the only ones under one identifier and family, in
+    ``families`` families or more; the shorter counts as the short form. Misspellings hardly repeat in another family.
+    ``rows`` has oid, fam, g1.
     """
-    if fa == fb:
-        family = 1.0
-    elif sound(fa) == sound(fb):
-        family = 0.97
-    elif min(len(fa), len(fb)) >= SHORT_WORD and (_edit1(fa, fb) or _edit1(sound(fa), sound(fb))):
-        family = 0.9
-    elif min(len(fa), len(fb)) >= LONG_WORD and min(_edits(fa, fb, 2), _edits(sound(fa), sound(fb), 2)) <= 2:
-        family = 0.8
-    else:
-        return 0.0
-    m = given_match(ga, gb, forms)
-    if m is None or family < 0.9 and (m[0] < 0.9 or m[1] or m[2]):
-        return 0.0
-    wf, wg = weight
-    score = (wf * family + wg * m[0]) / (wf + wg)
-    return score
-
-
-def _forms(fam: str) -> set[str]:
-    """The spellings by which a family is compared: by sound, and with single letters of equal sound made equal
-    (an error may break a pair of letters that stands for one sound)."""
-    return {sound(fam), fam.translate(_EVEN)}
-
-
-def _family_keys(form: str, edits: int) -> set[str]:
-    """Keys of which two forms within ``edits`` errors share one."""
-    n, out = len(form), set()
-    if n <= LONG_FAMILY:
-        out = last = {form}
-        for _ in range(edits):
-            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-            out = out | last
-    if n > LONG_FAMILY - 2:  # two errors touch at most four fifths; the one left may stand two letters off
-        for size in range(n - 2, n + 3):
-            at = [size * k // 5 for k in range(6)]
-            out = out | {f"{size} {k} {form[at[k] + off : at[k + 1] + off]}" for k in range(5) for off in range(-2, 3) if 0 <= at[k] + off <= at[k + 1] + off <= n}
-    return out
-
-
-def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id and node of every row, nodes): each node with family, given, support, and the identifier its rows agree on.
+    fold = lambda c: F.lower(F.trim(c))
+    listed = nicknames.select(fold("nickname").alias("short"), fold("given").alias("full"))
+    told = rows.where("oid is not null and length(g1) > 1").groupBy("oid", "fam").agg(F.min("g1").alias("x"), F.max("g1").alias("y"), F.count_distinct("g1").alias("k")).where("k = 2")
+    shorter = F.struct(F.length("x"), F.col("x")) < F.struct(F.length("y"), F.col("y"))
+    pairs = told.select("fam", F.when(shorter, F.col("x")).otherwise(F.col("y")).alias("short"), F.when(shorter, F.col("y")).otherwise(F.col("x")).alias("full"))
+    learned = pairs.groupBy("short", "full").agg(F.count_distinct("fam").alias("n")).where((F.col("n") >= families) & ~one_error(F.col("short"), F.col("full"), 1))
+    return listed.unionByName(learned.select("short", "full")).where("length(short) > 1 and length(full) > 1 and short <> full").distinct()
+
+
+def word_table(nodes: DataFrame, forms: DataFrame) -> DataFrame:
+    """kind, word, df, bigs (the more frequent words near it), forms (what a given word may be short for)."""
+    whole = F.replace(F.array_join("giv", ""), F.lit("-"), F.lit(""))
+    of = F.array_distinct(F.array(F.struct(F.lit("f").alias("kind"), sound(F.col("fam")).alias("word")), F.struct(F.lit("g").alias("kind"), _bare(F.element_at("giv", 1)).alias("word")), F.struct(F.lit("g").alias("kind"), whole.alias("word"))))
+    words = cut(nodes.select(F.inline(of)).groupBy("kind", "word").agg(F.count("*").alias("df")))
+    given = words.where("kind = 'g'").select("word", "df")
+    other = given.select(F.col("word").alias("word_b"), F.col("df").alias("df_b"))
+    g = F.lit("g").alias("kind")
+    # what a word begins with, and what it is a short form of
+    begins = given.where(F.length("word") > 4).select(F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 2), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("word_b"), "word", "df")
+    begun = begins.join(other, "word_b").select(g, "word", "df", "word_b", "df_b")
+    short = given.join(forms, F.col("word") == F.col("short")).join(other, F.col("full") == F.col("word_b")).select(g, "word", "df", "word_b", "df_b")
+    # two short forms of one full form, of which the full form itself may not occur
+    two = forms.join(forms.select(F.col("short").alias("word_b"), "full"), "full").where("short < word_b")
+    both = two.join(given, F.col("word") == F.col("short")).join(other, "word_b").select(g, "word", "df", "word_b", "df_b")
+    near = near_words(words).unionByName(_ordered(begun.unionByName(short).unionByName(both)))
+    ups = near.groupBy("kind", F.col("small").alias("word")).agg(F.collect_set("big").alias("bigs"))
+    full = forms.groupBy(F.col("short").alias("word")).agg(F.collect_set("full").alias("forms")).withColumn("kind", F.lit("g"))
+    return cut(words.join(ups, ["kind", "word"], "left").join(full, ["kind", "word"], "left"))
+
+
+# ---- names ----
+
+
+def _bare(word: Column) -> Column:
+    return F.replace(word, F.lit("-"), F.lit(""))
+
+
+def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id and spelling of every row, spelling and node, nodes): each node with family, given words and support.
 
     Where a spelling can be read in two ways, the way whose words are used so elsewhere in the corpus wins.
     """
-    oid = F.regexp_extract(F.coalesce("identifier", F.lit("")), r"([0-9]{4}-?[0-9]{4}-?[0-9]{4}-?[0-9]{3}[0-9Xx])", 1)
-    rows = authors.where("id is not null").select("id", "given", "family", "initials", F.upper(F.regexp_replace(F.nullif(oid, F.lit("")), "-", "")).alias("oid"))
-    spelled = rows.groupBy("given", "family", "initials").agg(F.countDistinct("id").alias("n"), F.min("oid").alias("oid"), F.max("oid").alias("last_oid")).where("given is not null or family is not null")
-    spelled = spelled.withColumn("sid", F.md5(F.to_json(F.struct("given", "family", "initials"))))
+    sid = F.xxhash64(F.to_json(F.struct("given", "family", "initials"))).alias("sid")
+    rows = authors.where("id is not null and (given is not null or family is not null)").select("id", "given", "family", "initials").distinct().select("id", "given", "family", "initials", sid)
+    spelled = rows.groupBy("sid", "given", "family", "initials").agg(F.count("*").alias("n"))
 
     def ways(sid, given, family, initials, n):
         for k, (f, g) in enumerate(read_name(given, family, initials)):
             yield sid, k, f, g, n
 
-    read = cut(_map(spelled.select("sid", "given", "family", "initials", "n"), ways, "sid string, way int, fam string, giv array<string>, n bigint"))
-    as_family = read.where("way = 0").groupBy(F.col("fam").alias("w")).agg(F.count("*").alias("nf"))
-    as_given = read.where("way = 0").select(F.explode("giv").alias("w")).groupBy("w").agg(F.count("*").alias("ng"))
-    use = as_family.join(as_given, "w", "full").select("w", F.coalesce("nf", F.lit(0)).alias("nf"), F.coalesce("ng", F.lit(0)).alias("ng"))
-    two = read.join(read.where("way = 1").select("sid"), "sid", "left_semi")
-    parts = two.select("sid", "way", F.col("fam").alias("w"), F.lit(1).alias("sign")).unionByName(
-        two.select("sid", "way", F.explode("giv").alias("w"), F.lit(-1).alias("sign"))
-    )
-    # a reading's own use is among the counts of way 0, so one is taken off there
-    odds = F.log((F.col("nf") + 0.5) / (F.col("ng") + 0.5))
-    own = F.when(F.col("way") == 0, 1).otherwise(0)
-    scored = parts.join(use, "w", "left").fillna(0, ["nf", "ng"]).withColumn("nf", F.greatest(F.lit(0), F.col("nf") - F.when(F.col("sign") > 0, own).otherwise(0))).withColumn(
-        "ng", F.greatest(F.lit(0), F.col("ng") - F.when(F.col("sign") < 0, own).otherwise(0))
-    )
-    score = scored.groupBy("sid", "way").agg(F.avg(F.when(F.col("sign") > 0, odds)).alias("a"), F.avg(F.when(F.col("sign") < 0, -odds)).alias("b"))
-    best = score.groupBy("sid").agg(F.max_by("way", F.struct((F.col("a") + F.col("b")).alias("s"), (-F.col("way")).alias("w"))).alias("way"))
-    chosen = read.join(best.withColumnRenamed("way", "best"), "sid", "left").where(F.col("way") == F.coalesce("best", F.lit(0)))
-    node = F.md5(F.concat_ws("|", "fam", F.array_join("giv", " ")))
-    spellings = cut(chosen.join(spelled.select("sid", "oid", "last_oid"), "sid").select("sid", node.alias("node"), "fam", "giv", "n", "oid", "last_oid"))
-    nodes = spellings.groupBy("node", "fam", "giv").agg(F.sum("n").alias("support"), F.min("oid").alias("oid"), F.max("last_oid").alias("last_oid"))
-    # an identifier speaks for a node only where all its rows that have one agree
-    nodes = nodes.withColumn("oid", F.when(F.col("oid") == F.col("last_oid"), F.col("oid"))).drop("last_oid")
-    keyed = rows.select("id", F.md5(F.to_json(F.struct("given", "family", "initials"))).alias("sid")).join(spellings.select("sid", "node"), "sid").distinct()
-    return keyed, nodes
-
-
-#: Roles of keys: D equal words, or words that are equal without one letter; S a short form and L what it may be short for; I initials only and F full words.
-_MEET = "role = 'D' and role_b = 'D' or role = 'S' and role_b = 'L' or role = 'L' and role_b = 'S' or role = 'I' and role_b in ('I', 'F') or role = 'F' and role_b = 'I'"
-
-
-def _given_keys(given: list[str], forms: dict[str, set[str]]) -> set[str]:
-    """Keys, led by their role, of which ``given_match`` needs two names to share one."""
-    first, whole = given[0].replace("-", ""), "".join(given).replace("-", "")
-    if len(first) == 1:
-        words, out = {whole}, {"I" + first}
-    else:
-        words, out = {first, whole}, {"F" + first[0], "S" + first[:LONG_GIVEN], *("L" + first[:k] for k in range(3, min(len(first) - 1, LONG_GIVEN + 1)))}
-        if len(given) > 1 and len(given[0]) < 3:  # a name written apart
-            out |= {"L" + whole[:k] for k in range(2, min(len(whole), LONG_GIVEN) + 1)}
-    out |= {"D" + f for f in forms.get(first, ())}
-    for w in words:
-        if len(w) >= LONG_GIVEN:  # one error leaves either end as it is
-            out |= {"D" + w[: LONG_GIVEN // 2 - 1] + "<", "D>" + w[1 - LONG_GIVEN // 2 :]}
-        if len(w) <= LONG_GIVEN:
-            out |= {"D" + w, *("D" + w[:i] + w[i + 1 :] for i in range(len(w)))}
-    return out
-
-
-def name_links(nodes: DataFrame, forms: dict[str, set[str]], threshold: float = 0.7) -> DataFrame:
-    """(a, b, score) both ways: nodes that may name one person."""
-
-    def units(node, fam, giv):
-        word = sound(fam)
-        yield node, word, list(_given_keys(giv, forms))
-
-    def spelled(fam):
-        edits = 2 if len(fam) >= LONG_WORD else 1 if len(fam) >= SHORT_WORD else 0
-        for form in _forms(fam) if edits else ():
-            yield sound(fam), form, edits
-
-    def form_keys(form, edits):
-        yield form, list(_family_keys(form, edits))
-
-    def check(form, form_b):
-        if _edits(form, form_b, 2) <= 2:
-            yield form, form_b
-
-    of = cut(_map(nodes.select("node", "fam", "giv"), units, "node string, word string, keys array<string>"))
-    spellings = cut(_map(nodes.select("fam").distinct(), spelled, "word string, form string, edits int").groupBy("word", "form").agg(F.max("edits").alias("edits")))
-    every = _map(spellings.groupBy("form").agg(F.max("edits").alias("edits")), form_keys, "form string, keys array<string>")
-    every = every.select("form", F.explode("keys").alias("key")).select("form", F.xxhash64("key").alias("key"))
-    met = every.join(every.withColumnRenamed("form", "form_b"), "key").where("form < form_b").select("form", "form_b").distinct()
-    alike = cut(_map(met, check, "form string, form_b string"))
-    alike = alike.unionByName(spellings.select("form", F.col("form").alias("form_b")).distinct())
-    one, two = spellings.select("word", "form"), spellings.select(F.col("word").alias("word_b"), F.col("form").alias("form_b"))
-    near = alike.join(one, "form").join(two, "form_b").where("word <> word_b")
-    near = cut(near.select(F.least("word", "word_b").alias("word"), F.greatest("word", "word_b").alias("word_b")).distinct())
-
-    # within a family, and between near ones, nodes meet by what their first given words may have in common, never all with all
-    shared = of.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word")
-    keyed = lambda df: df.select("node", "word", F.explode("keys").alias("key")).select("node", "word", F.substring("key", 2, 1000).alias("key"), F.substring("key", 1, 1).alias("role"))
-    mine = keyed(of.join(shared, "word", "left_semi"))
-    theirs = mine.select(F.col("node").alias("other"), "word", "key", F.col("role").alias("role_b"))
-    same = mine.join(theirs, ["word", "key"]).where("node <> other").where(_MEET)
-    left = keyed(of.join(near.select("word").distinct(), "word", "left_semi")).join(near, "word").drop("word")
-    right = keyed(of.join(near.select(F.col("word_b").alias("word")).distinct(), "word", "left_semi")).select(F.col("node").alias("other"), F.col("word").alias("word_b"), "key", F.col("role").alias("role_b"))
-    unlike = left.join(right, ["word_b", "key"]).where(_MEET)
-    pairs = same.select("node", "other").unionByName(unlike.select("node", "other")).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
-    total = max(2, nodes.count())
-    family_use = nodes.groupBy("fam").agg(F.count("*").alias("df"))
-    given_use = nodes.select(F.element_at("giv", 1).alias("g1")).groupBy("g1").agg(F.count("*").alias("gdf"))
-    heavy = (
-        nodes.join(family_use, "fam")
-        .withColumn("g1", F.element_at("giv", 1))
-        .join(given_use, "g1")
-        .select("node", "fam", "giv", "oid", F.log(F.lit(float(total)) / F.col("df") + 1).alias("wf"), F.log(F.lit(float(total)) / F.col("gdf") + 1).alias("wg"))
+    read = cut(_map(spelled, ways, "sid bigint, way int, fam string, giv array<string>, n bigint"))
+    used = F.array_append(F.transform("giv", lambda w: F.struct(w.alias("w"), F.lit(0).alias("is_family"))), F.struct(F.col("fam").alias("w"), F.lit(1).alias("is_family")))
+    use = read.where("way = 0").select(F.inline(used)).groupBy("w").agg(F.sum("is_family").alias("nf"), F.sum(1 - F.col("is_family")).alias("ng"))
+    several = read.where("way = 1").select("sid").distinct()
+    parts = read.join(several, "sid", "left_semi").select("*", F.inline(used)).join(use, "w", "left").fillna(0, ["nf", "ng"])
+    # a spelling's own words are among the counts, in their roles of way 0, so one is taken off there
+    family = F.col("is_family") == 1
+    counted_as_family = family == (F.col("way") == 0)
+    nf = F.greatest(F.lit(0), F.col("nf") - counted_as_family.cast("int"))
+    ng = F.greatest(F.lit(0), F.col("ng") - (~counted_as_family).cast("int"))
+    odds = F.log((nf + 0.5) / (ng + 0.5))
+    scored = parts.repartition("sid").groupBy("sid", "way").agg(
+        (F.avg(F.when(family, odds)) + F.avg(F.when(~family, -odds))).alias("score"), F.first("fam").alias("fam"), F.first("giv").alias("giv"), F.first("n").alias("n")
     )
-    heavy = cut(heavy)
-    left = heavy.select(*(F.col(c).alias(c + "_a") for c in heavy.columns))
-    right = heavy.select(*(F.col(c).alias(c + "_b") for c in heavy.columns))
-    joined = pairs.withColumnRenamed("node", "node_a").withColumnRenamed("other", "node_b").join(left, "node_a").join(right, "node_b")
-    agree = F.coalesce(F.col("oid_a") == F.col("oid_b"), F.lit(True))
-
-    def verify(a, b, fa, ga, fb, gb, wf, wg):
-        s = compare_names(fa, ga, fb, gb, (wf, wg), forms)
-        if s >= threshold:
-            yield a, b, int(s * 1000), information(ga), information(gb)
-
-    links = _map(
-        joined.where(agree).select("node_a", "node_b", "fam_a", "giv_a", "fam_b", "giv_b", F.least("wf_a", "wf_b").alias("wf"), F.least("wg_a", "wg_b").alias("wg")),
-        verify,
-        "a string, b string, score int, ia int, ib int",
+    best = scored.groupBy("sid").agg(F.max_by(F.struct("fam", "giv", "n"), F.struct("score", -F.col("way"))).alias("b")).select("sid", "b.*")
+    chosen = read.join(several, "sid", "left_anti").select("sid", "fam", "giv", "n").unionByName(best)
+    spellings = cut(chosen.withColumn("node", F.xxhash64("fam", F.array_join("giv", " "))))
+    nodes = spellings.groupBy("node", "fam", "giv").agg(F.sum("n").alias("support"))
+    return rows.select("id", "sid"), spellings.select("sid", "node"), nodes
+
+
+def information(given: Column) -> Column:
+    """How much a spelling tells of the given names: full words count for more than initials."""
+    return F.aggregate(given, F.lit(0), lambda n, w: n + F.when(F.length(w) > 1, 10).otherwise(1))
+
+
+def _initials(given: Column) -> Column:
+    return F.array_join(F.transform(given, lambda w: F.regexp_replace(w, r"-?([^-])[^-]*", "$1")), "")
+
+
+def name_similarity() -> tuple[Column, Column]:
+    """(family, given) similarity of the names _a and _b; null for given names that differ.
+
+    Columns fam, giv, forms with _a and _b. A family is equal (1), sounds equal (0.97), or has one (0.9) or two errors
+    (0.8). Given words are aligned in order; later words may be left out, words be initials (0.6), short forms or
+    beginnings (0.95), have an error (0.9), or names be written apart (0.9).
+    """
+    fa, fb = F.col("fam_a"), F.col("fam_b")
+    sa, sb = sound(fa), sound(fb)
+    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD) | one_error(fa, fb, SHORT_WORD), 0.9).when(two_errors(sa, sb), 0.8)
+    ga, gb = F.col("giv_a"), F.col("giv_b")
+    whole_a, whole_b = _bare(F.array_join(ga, "")), _bare(F.array_join(gb, ""))
+    ia, ib = _initials(ga), _initials(gb)
+    only = F.forall(ga, lambda w: F.length(w) == 1) | F.forall(gb, lambda w: F.length(w) == 1)
+    n = F.least(F.size(ga), F.size(gb))
+    first_a, first_b = _bare(F.element_at(ga, 1)), _bare(F.element_at(gb, 1))
+    none = F.array().cast("array<string>")
+    forms_a, forms_b = F.coalesce("forms_a", none), F.coalesce("forms_b", none)
+    nick = F.array_contains(forms_a, first_b) | F.array_contains(forms_b, first_a) | F.arrays_overlap(forms_a, forms_b)
+
+    def word(x: Column, y: Column) -> Column:
+        x, y = _bare(x), _bare(y)
+        short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+        begins = (short >= 3) & (long - short >= 2) & (F.startswith(x, y) | F.startswith(y, x))
+        return (
+            F.when(x == y, 1.0)
+            .when((short == 1) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)), 0.6)
+            .when(short == 1, 0.0)
+            .when((x == first_a) & (y == first_b) & nick, 0.95)
+            .when(begins, 0.95)
+            .when(one_error(x, y, SHORT_GIVEN), 0.9)
+            .otherwise(0.0)
+        )
+
+    words = F.zip_with(F.slice(ga, F.lit(1), n), F.slice(gb, F.lit(1), n), word)
+    apart = lambda g, whole, h: (F.size(g) > 1) & (F.length(F.element_at(g, 1)) < 3) & (F.length(h) > 2) & F.startswith(whole, h)
+    given = (
+        F.when(only, F.when(F.startswith(ia, ib) | F.startswith(ib, ia), 0.6))
+        .when(F.array_min(words) > 0, F.aggregate(words, F.lit(0.0), lambda t, x: t + x) / n)
+        .when(one_error(whole_a, whole_b, SHORT_GIVEN) | apart(ga, whole_a, first_b) | apart(gb, whole_b, first_a), 0.9)
     )
-    links = cut(links)
-    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", F.col("ib").alias("ia"), F.col("ia").alias("ib")))
+    # two errors in the family need given names that agree word by word
+    agree = (given >= 0.9) & ((F.size(ga) == F.size(gb)) | (whole_a == whole_b))
+    return F.when((family >= 0.9) | agree, family), given
+
+
+def name_links(nodes: DataFrame, forms: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(a, b, score, ia, ib, sa, sb) both ways: nodes that may name one person, what they tell, and their support."""
+    words = word_table(nodes, forms)
+    total = F.lit(float(max(2, nodes.count())))
+    none = F.array().cast("array<string>")
+    fams = words.where("kind = 'f'").select(F.col("word").alias("sound"), F.log(total / F.col("df") + 1).alias("wf"), F.array_append(F.coalesce("bigs", none), F.col("word")).alias("fs"))
+    firsts = words.where("kind = 'g'").select(F.col("word").alias("first"), F.log(total / F.col("df") + 1).alias("wg"), F.array_append(F.coalesce("bigs", none), F.col("word")).alias("gs"), "forms")
+    wholes = words.where("kind = 'g'").select(F.col("word").alias("whole"), F.array_append(F.coalesce("bigs", none), F.col("word")).alias("ws"))
+    base = nodes.withColumns({"sound": sound(F.col("fam")), "first": _bare(F.element_at("giv", 1)), "whole": _bare(F.array_join("giv", ""))})
+    known = base.join(fams, "sound").join(firsts, "first")
+    one, more = known.where("first = whole").withColumn("ws", none), known.where("first <> whole").join(wholes, "whole")
+    heavy = one.select(*(c for c in one.columns if c != "whole")).unionByName(more.select(*(c for c in one.columns if c != "whole")))
+    heavy = cut(heavy.select("node", "fam", "giv", "support", "wf", "wg", "forms", "fs", "first", F.array_distinct(F.concat("gs", "ws")).alias("gs")))
+
+    single = F.length("first") == 1
+    letter = F.substring("first", 1, 1)
+    by_word = F.when(single, F.filter("gs", lambda g: F.length(g) > 1)).otherwise(F.col("gs"))
+    tagged = lambda tag, x: F.concat(F.lit(tag), x)
+    left_keys = F.concat(F.transform(by_word, lambda g: tagged("T", g)), F.when(single, F.array(tagged("F", letter), tagged("I", letter))).otherwise(none))
+    right_keys = F.concat(F.transform(by_word, lambda g: tagged("T", g)), F.when(single, F.array(tagged("I", letter))).otherwise(F.array(tagged("F", letter))))
+
+    def side(keys: Column, x: str) -> DataFrame:
+        each = F.flatten(F.transform("fs", lambda f: F.transform(keys, lambda k: F.struct(F.xxhash64(f, k).alias("key"), F.startswith(k, F.lit("F")).alias("fuller")))))
+        rows = heavy.select("node", "fam", "giv", "support", "wf", "wg", "forms", F.inline(F.array_distinct(each)))
+        return rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "fam", "giv", "support", "wf", "wg", "forms", "fuller")))
+
+    left, right = side(left_keys, "a"), side(right_keys, "b")
+    met = left.join(right, "key").where("fuller_a = fuller_b and (fuller_a and node_a <> node_b or node_a < node_b)")
+    family, given = name_similarity()
+    wf, wg = F.least("wf_a", "wf_b"), F.least("wg_a", "wg_b")
+    verified = met.withColumns({"family": family, "given": given}).where("family is not null and given is not null")
+    scored = verified.withColumn("score", ((wf * F.col("family") + wg * F.col("given")) / (wf + wg) * 1000).cast("int")).where(F.col("score") >= int(threshold * 1000))
+    ways = F.array(*(F.struct(*(F.col(f"{c}_{x}").alias(n + y) for x, y in zip(order, "ab") for c, n in (("node", ""), ("support", "s"))), *(information(F.col(f"giv_{x}")).alias("i" + y) for x, y in zip(order, "ab"))) for order in ("ab", "ba")))
+    return cut(scored.select("score", F.inline(ways)).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("score", "ia", "ib", "sa", "sb"))))
 
 
 def persons(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -381,45 +349,48 @@ def persons(nodes: DataFrame, links: DataFrame) -> DataFrame:
     A spelling that tells less than its partners (initials, no middle name) follows them only if they
     agree with each other: all must be linked to the best supported of them. Otherwise it stays apart.
     """
-    size = nodes.select("node", "support")
-    at = links.join(size.select(F.col("node").alias("a"), F.col("support").alias("sa")), "a").join(size.select(F.col("node").alias("b"), F.col("support").alias("sb")), "b")
-    fuller = F.col("ib") > F.col("ia")
     rank = F.struct("sb", "score", "b")
-    hub = at.where(fuller).groupBy("a").agg(F.max_by("b", rank).alias("hub"), F.count("*").alias("k"))
-    others = at.where(fuller).join(hub, "a").where("b <> hub").select("a", "b", "hub")
-    near_hub = others.join(links.select(F.col("a").alias("b"), F.col("b").alias("hub")).distinct(), ["b", "hub"], "left_semi").groupBy("a").agg(F.count("*").alias("ok"))
-    clear = hub.join(near_hub, "a", "left").where(F.coalesce("ok", F.lit(0)) == F.col("k") - 1).select("a", "hub")
-    peer = at.where((F.col("ib") == F.col("ia")) & (F.struct("sb", "b") > F.struct("sa", "a")))
-    best_peer = peer.groupBy("a").agg(F.max_by("b", rank).alias("peer"))
-    up = size.select(F.col("node").alias("a")).join(clear, "a", "left").join(best_peer, "a", "left").select("a", F.coalesce("hub", "peer", "a").alias("top"))
+    fuller = F.col("ib") > F.col("ia")
+    peer = (F.col("ib") == F.col("ia")) & (F.struct("sb", "b") > F.struct("sa", "a"))
+    best = links.groupBy("a").agg(F.max_by("b", F.when(fuller, rank)).alias("hub"), F.count_if(fuller).alias("k"), F.max_by("b", F.when(peer, rank)).alias("peer"))
+    others = links.where(fuller).select("a", "b").join(best.where("k > 1").select("a", "hub"), "a").where("b <> hub")
+    agreeing = others.join(links.select(F.col("a").alias("b"), F.col("b").alias("hub")), ["b", "hub"], "left_semi").groupBy("a").agg(F.count("*").alias("ok"))
+    clear = F.coalesce("ok", F.lit(0)) == F.col("k") - 1
+    up = best.join(agreeing, "a", "left").select("a", F.coalesce(F.when(clear, F.col("hub")), "peer", "a").alias("top")).where("a <> top")
     state = cut(up)
-    for _ in range(20):  # the pointers rise strictly, so their jumps double without loops
+    while not state.isEmpty():  # the pointers rise strictly, so their jumps double and end
         jump = state.select(F.col("a").alias("top"), F.col("top").alias("next"))
-        new = cut(state.join(jump, "top").select("a", F.col("next").alias("top"), (F.col("next") != F.col("top")).alias("moved")))
+        new = cut(state.join(jump, "top", "left").select("a", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("moved")))
         state = new.select("a", "top")
         if new.where("moved").isEmpty():
             break
-    return state.select(F.col("a").alias("node"), F.col("top").alias("person"))
+    return nodes.select("node").join(state.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("top", "node").alias("person"))
 
 
 def author_persons(authors: DataFrame, nicknames: DataFrame) -> DataFrame:
     """id, sid, person: every author row with a readable name, its spelling and the person it names.
 
-    ``nicknames`` is the parameter list (given, nickname), read by the driver. Rows without any name, groups
-    that have only a collective name, and names without a family word are in no class. Repeated rows count once.
+    ``nicknames`` is a list (given, nickname) of short forms. ``identifier`` only teaches short forms; it neither makes nor
+    forbids a link. Rows without any name, groups that have only a collective name, and names without a family word are
+    in no class. Repeated rows count once.
     """
-    forms = short_forms([(r.given, r.nickname) for r in nicknames.select("given", "nickname").collect()])
-    keyed, nodes = name_nodes(authors)
+    keyed, spellings, nodes = name_nodes(authors)
     nodes = cut(nodes)
-    return keyed.join(persons(nodes, name_links(nodes, forms)), "node").select("id", "sid", "person")
+    oid = F.regexp_extract(F.coalesce("identifier", F.lit("")), r"([0-9]{4}-?[0-9]{4}-?[0-9]{4}-?[0-9]{3}[0-9Xx])", 1)
+    sid = F.xxhash64(F.to_json(F.struct("given", "family", "initials"))).alias("sid")
+    told = authors.where("identifier is not null").select(F.upper(F.regexp_replace(F.nullif(oid, F.lit("")), "-", "")).alias("oid"), sid).where("oid is not null").distinct()
+    rows = told.join(spellings, "sid").join(nodes, "node").select("oid", "fam", F.element_at("giv", 1).alias("g1"))
+    links = name_links(nodes, cut(short_forms(nicknames, rows)))
+    people = spellings.join(persons(nodes, links), "node").select("sid", "person")
+    return keyed.join(people, "sid").select("id", "sid", "person")
 
 
 def variant_pairs(members: DataFrame) -> DataFrame:
     """author_id_a, author_id_b (a < b): rows of one person whose spellings differ; rows of equal spelling are no pair."""
-    members = cut(members.select("id", "sid", "person").distinct())
+    members = cut(members.distinct())
     spelled = members.select("sid", "person").distinct()
-    meets = spelled.join(spelled.withColumnRenamed("sid", "sid_b"), "person").where("sid < sid_b")
-    left = members.join(meets, ["person", "sid"]).select(F.col("id").alias("x"), "person", "sid_b")
-    right = members.select(F.col("id").alias("y"), "person", F.col("sid").alias("sid_b"))
-    pairs = left.join(right, ["person", "sid_b"]).where("x <> y")
+    meets = spelled.join(spelled.withColumnRenamed("sid", "sid_b"), "person").where("sid < sid_b").select("sid", "sid_b")
+    left = members.select("sid", F.col("id").alias("x")).join(meets, "sid")
+    right = members.select(F.col("sid").alias("sid_b"), F.col("id").alias("y"))
+    pairs = left.join(right, "sid_b").where("x <> y")
     return pairs.select(F.least("x", "y").alias("author_id_a"), F.greatest("x", "y").alias("author_id_b")).distinct()
