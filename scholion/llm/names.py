@@ -1,9 +1,8 @@
 """Variant spellings of personal names: prefix-filtered q-gram join of tokens, soft weighted token similarity of names.
 
 Spellings are read into a family word and given words; names that read alike form one node. All words of the
-corpus, families and given words, are sets of positional q-grams. One self-join finds the words that differ by few errors:
-each word is indexed by a prefix of three disjoint grams, of which the errors allowed spoil at most two, and probed
-with its grams at the places to which they may have moved. So the prefix filter loses no pair, at any length. Short forms
+corpus, families and given words, are sets of positional q-grams. One self-join by a prefix of them (see ``grams``) finds
+the words that differ by one error, another the long families that differ by two beside near given words. Short forms
 come from the list given and from given words that stand for each other under one identifier.
 
 A name then meets others by (family word, first given word): by its own words and by the *more frequent* words near
@@ -22,12 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.folding import plain
+from scholion.llm.grams import index_grams, index_two, letter_counts, letters_allow, one_error, probe_grams, probe_two, two_errors
 from scholion.llm.linkage import _map
 from scholion.session import cut
 
 #: Families and given words of at least this length may differ by an error.
 SHORT_WORD, SHORT_GIVEN = 5, 3
-#: Families of at least this length may differ by two errors, if the given names agree word by word.
+#: Families of at least this length may differ by two errors, if the first given words agree.
 LONG_WORD = 9
 
 # Words before a family name, and words after a name that are no part of it.
@@ -96,79 +96,27 @@ def sound(word: Column) -> Column:
 # ---- words ----
 
 
-def _places(length: Column) -> list[tuple[Column, Column]]:
-    """(start, size) of the three disjoint grams of a word of ``length`` letters; they cover it."""
-    q, rest = F.floor(length / 3).cast("int"), length % 3
-    second = q + (rest == 2).cast("int")
-    return [(F.lit(1), q), (1 + q, second), (1 + q + second, q + (rest >= 1).cast("int"))]
-
-
-#: Moves of the grams 1, 2 and 3 by the length a word has beyond another: with two errors, and with one (or an exchange of neighbours).
-_TWO = {0: [(0, 0), (1, -1), (1, 0), (1, 1), (2, 0)], 1: [(0, 0), (1, 0), (1, 1), (2, 1)], 2: [(0, 0), (1, 1), (2, 2)]}
-_ONE = {0: [(0, 0), (1, 0), (2, 0)], 1: [(0, 0), (2, 1)]}
-
-
-def _gram(kind: Column, length: Column, k: int, gram: Column) -> Column:
-    return F.xxhash64(kind, length, F.lit(k), gram)
-
-
-def index_grams(kind: Column, word: Column) -> Column:
-    """The prefix of a word: its three disjoint grams with their places."""
-    n = F.length(word)
-    return F.array(*(_gram(kind, n, k, F.substring(word, at, size)) for k, (at, size) in enumerate(_places(n))))
-
-
-def probe_grams(kind: Column, word: Column, long: Column) -> Column:
-    """The grams by which a word meets the prefix of every word near it that isn't longer.
-
-    An error moves what follows it by at most one place, so of the three grams of the shorter word one stands
-    whole in the longer, moved by what the errors before it leave possible.
-    """
-    n = F.length(word)
-    out = []
-    for less, moves in _TWO.items():
-        own = n - less
-        for k, move in moves:
-            at, size = _places(own)[k]
-            two = long & (own >= LONG_WORD)
-            allowed = F.lit(True) if (k, move) in _ONE.get(less, []) else two
-            fits = (at + move >= 1) & (at + move + size - 1 <= n) & (own >= 3)
-            out.append(F.when(allowed & fits, _gram(kind, own, k, F.substring(word, at + move, size))))
-    return F.array_compact(F.array(*out))
-
-
-def exchanged(a: Column, b: Column) -> Column:
-    """Whether two neighbouring letters are exchanged, and all else is equal."""
-    return (F.length(a) == F.length(b)) & F.exists(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - 1)),
-        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b,
-    )
-
-
-def one_error(a: Column, b: Column, least: int) -> Column:
-    """Equal but for one letter changed, left out or put in, or two neighbours exchanged; both of ``least`` letters or more."""
-    d = F.levenshtein(a, b, 2)
-    return (F.least(F.length(a), F.length(b)) >= least) & (d.between(0, 1) | ((d == 2) & exchanged(a, b)))
-
-
-def two_errors(a: Column, b: Column) -> Column:
-    """Families of LONG_WORD letters and more within an edit distance of two."""
-    return (F.least(F.length(a), F.length(b)) >= LONG_WORD) & F.levenshtein(a, b, 2).between(0, 2)
-
-
 def near_words(words: DataFrame) -> DataFrame:
-    """(kind, small, big): pairs of words (kind ``f`` or ``g``, word, df) that differ by few errors; ``big`` is the more frequent."""
+    """(kind, small, big): pairs of words (kind ``f`` or ``g``, word, df) that differ by one error; ``big`` is the more frequent."""
     k, w = F.col("kind"), F.col("word")
-    long = (k == "f") & (F.length(w) >= LONG_WORD)
     able = words.where(F.length(w) >= F.when(k == "f", SHORT_WORD).otherwise(SHORT_GIVEN))
     index = able.select("kind", "word", "df", F.explode(index_grams(k, w)).alias("gram"))
-    probe = able.select(F.col("kind").alias("kind_b"), F.col("word").alias("word_b"), F.col("df").alias("df_b"), F.explode(probe_grams(k, w, long)).alias("gram"))
-    a, b = F.col("word"), F.col("word_b")
-    near = F.when(k == "f", one_error(a, b, SHORT_WORD) | two_errors(a, b)).otherwise(one_error(a, b, SHORT_GIVEN))
-    met = index.join(probe, "gram").where((k == F.col("kind_b")) & (a != b) & near)
+    probe = able.select(F.col("kind").alias("kind_b"), F.col("word").alias("word_b"), F.col("df").alias("df_b"), F.explode(probe_grams(k, w)).alias("gram"))
+    met = index.join(probe, "gram").where("kind = kind_b and word <> word_b").where(one_error(F.col("word"), F.col("word_b"), SHORT_GIVEN))
     return _ordered(met.select("kind", "word", "df", "word_b", "df_b"))
 
 
+def near_families(beside: DataFrame, words: DataFrame) -> DataFrame:
+    """(kind, small, big): long families two errors apart that stand beside a common given word: pairs (family, given)."""
+    dated = beside.where(F.length("family") >= LONG_WORD).withColumn("letters", letter_counts(F.col("family")))
+    index = dated.select("family", "letters", F.explode(index_two(F.col("given"), F.col("family"))).alias("gram"))
+    probe = dated.select(F.col("family").alias("family_b"), F.col("letters").alias("letters_b"), F.explode(probe_two(F.col("given"), F.col("family"), LONG_WORD)).alias("gram"))
+    met = index.join(probe, "gram").where((F.col("family") != F.col("family_b")) & letters_allow(F.col("letters"), F.col("letters_b"), 2))
+    near = met.where(F.levenshtein("family", "family_b", 2) == 2).select("family", "family_b").distinct()
+    df = words.where("kind = 'f'").select("word", "df")
+    return _ordered(near.join(df.withColumnRenamed("word", "family"), "family").join(df.select(F.col("word").alias("family_b"), F.col("df").alias("df_b")), "family_b").select(F.lit("f").alias("kind"), F.col("family").alias("word"), "df", F.col("family_b").alias("word_b"), "df_b"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     up = F.struct("df", "word") < F.struct("df_b", "word_b")
     return pairs.select("kind", F.when(up, F.col("word")).otherwise(F.col("word_b")).alias("small"), F.when(up, F.col("word_b")).otherwise(F.col("word")).alias("big"))
@@ -191,9 +139,8 @@ def short_forms(nicknames: DataFrame, rows: DataFrame, families: int = 2) -> Dat
 
 
 def word_table(nodes: DataFrame, forms: DataFrame) -> DataFrame:
-    """kind, word, df, bigs (the more frequent words near it), forms (what a given word may be short for)."""
-    whole = F.replace(F.array_join("giv", ""), F.lit("-"), F.lit(""))
-    of = F.array_distinct(F.array(F.struct(F.lit("f").alias("kind"), sound(F.col("fam")).alias("word")), F.struct(F.lit("g").alias("kind"), _bare(F.element_at("giv", 1)).alias("word")), F.struct(F.lit("g").alias("kind"), whole.alias("word"))))
+    """kind, word, df, bigs (the more frequent words near it, and itself), forms (what a given word may be short for)."""
+    of = F.array_distinct(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("word")) for kind, c in (("f", "sound"), ("g", "first"), ("g", "whole")))))
     words = cut(nodes.select(F.inline(of)).groupBy("kind", "word").agg(F.count("*").alias("df")))
     given = words.where("kind = 'g'").select("word", "df")
     other = given.select(F.col("word").alias("word_b"), F.col("df").alias("df_b"))
@@ -205,10 +152,16 @@ def word_table(nodes: DataFrame, forms: DataFrame) -> DataFrame:
     # two short forms of one full form, of which the full form itself may not occur
     two = forms.join(forms.select(F.col("short").alias("word_b"), "full"), "full").where("short < word_b")
     both = two.join(given, F.col("word") == F.col("short")).join(other, "word_b").select(g, "word", "df", "word_b", "df_b")
-    near = near_words(words).unionByName(_ordered(begun.unionByName(short).unionByName(both)))
-    ups = near.groupBy("kind", F.col("small").alias("word")).agg(F.collect_set("big").alias("bigs"))
+    near = cut(near_words(words).unionByName(_ordered(begun.unionByName(short).unionByName(both))).distinct())
+
+    # a given word stands beside a family as written, and as the more frequent words near it
+    written = nodes.where(F.length("first") > 1).select(F.col("sound").alias("family"), F.col("first").alias("given")).distinct()
+    bigger = near.where("kind = 'g'").select(F.col("small").alias("given"), "big")
+    beside = written.unionByName(written.join(bigger, "given").select("family", F.col("big").alias("given")))
+    ups = near.unionByName(near_families(beside, words)).groupBy("kind", F.col("small").alias("word")).agg(F.collect_set("big").alias("bigs"))
     full = forms.groupBy(F.col("short").alias("word")).agg(F.collect_set("full").alias("forms")).withColumn("kind", F.lit("g"))
-    return cut(words.join(ups, ["kind", "word"], "left").join(full, ["kind", "word"], "left"))
+    found = words.join(ups, ["kind", "word"], "left").join(full, ["kind", "word"], "left")
+    return cut(found.select("kind", "word", "df", F.array_append(F.coalesce("bigs", F.array().cast("array<string>")), F.col("word")).alias("bigs"), "forms"))
 
 
 # ---- names ----
@@ -270,7 +223,7 @@ def name_similarity() -> tuple[Column, Column]:
     """
     fa, fb = F.col("fam_a"), F.col("fam_b")
     sa, sb = sound(fa), sound(fb)
-    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD) | one_error(fa, fb, SHORT_WORD), 0.9).when(two_errors(sa, sb), 0.8)
+    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD) | one_error(fa, fb, SHORT_WORD), 0.9).when(two_errors(sa, sb, LONG_WORD), 0.8)
     ga, gb = F.col("giv_a"), F.col("giv_b")
     whole_a, whole_b = _bare(F.array_join(ga, "")), _bare(F.array_join(gb, ""))
     ia, ib = _initials(ga), _initials(gb)
@@ -308,18 +261,18 @@ def name_similarity() -> tuple[Column, Column]:
 
 
 def name_links(nodes: DataFrame, forms: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, score, ia, ib, sa, sb) both ways: nodes that may name one person, what they tell, and their support."""
-    words = word_table(nodes, forms)
+    """(a, b, score, ia, ib, sa, sb, ua, ub) both ways: nodes that may name one person, what they tell, their support, and how usual their words are."""
+    base = nodes.withColumns({"sound": sound(F.col("fam")), "first": _bare(F.element_at("giv", 1)), "whole": _bare(F.array_join("giv", ""))})
+    words = word_table(base, forms)
     total = F.lit(float(max(2, nodes.count())))
     none = F.array().cast("array<string>")
-    fams = words.where("kind = 'f'").select(F.col("word").alias("sound"), F.log(total / F.col("df") + 1).alias("wf"), F.array_append(F.coalesce("bigs", none), F.col("word")).alias("fs"))
-    firsts = words.where("kind = 'g'").select(F.col("word").alias("first"), F.log(total / F.col("df") + 1).alias("wg"), F.array_append(F.coalesce("bigs", none), F.col("word")).alias("gs"), "forms")
-    wholes = words.where("kind = 'g'").select(F.col("word").alias("whole"), F.array_append(F.coalesce("bigs", none), F.col("word")).alias("ws"))
-    base = nodes.withColumns({"sound": sound(F.col("fam")), "first": _bare(F.element_at("giv", 1)), "whole": _bare(F.array_join("giv", ""))})
+    fams = words.where("kind = 'f'").select(F.col("word").alias("sound"), F.log(total / F.col("df") + 1).alias("wf"), F.col("bigs").alias("fs"))
+    given = words.where("kind = 'g'")
+    firsts = given.select(F.col("word").alias("first"), F.log(total / F.col("df") + 1).alias("wg"), F.col("bigs").alias("gs"), "forms")
     known = base.join(fams, "sound").join(firsts, "first")
-    one, more = known.where("first = whole").withColumn("ws", none), known.where("first <> whole").join(wholes, "whole")
-    heavy = one.select(*(c for c in one.columns if c != "whole")).unionByName(more.select(*(c for c in one.columns if c != "whole")))
-    heavy = cut(heavy.select("node", "fam", "giv", "support", "wf", "wg", "forms", "fs", "first", F.array_distinct(F.concat("gs", "ws")).alias("gs")))
+    one = known.where("first = whole").withColumn("ws", none)
+    more = known.where("first <> whole").join(given.select(F.col("word").alias("whole"), F.col("bigs").alias("ws")), "whole")
+    heavy = cut(one.unionByName(more).select("node", "fam", "giv", "support", "wf", "wg", "forms", "fs", "first", F.array_distinct(F.concat("gs", "ws")).alias("gs")))
 
     single = F.length("first") == 1
     letter = F.substring("first", 1, 1)
@@ -338,20 +291,21 @@ def name_links(nodes: DataFrame, forms: DataFrame, threshold: float = 0.7) -> Da
     family, given = name_similarity()
     wf, wg = F.least("wf_a", "wf_b"), F.least("wg_a", "wg_b")
     verified = met.withColumns({"family": family, "given": given}).where("family is not null and given is not null")
+    verified = verified.withColumns({f"usual_{x}": -F.col(f"wf_{x}") - F.col(f"wg_{x}") for x in "ab"})
     scored = verified.withColumn("score", ((wf * F.col("family") + wg * F.col("given")) / (wf + wg) * 1000).cast("int")).where(F.col("score") >= int(threshold * 1000))
-    ways = F.array(*(F.struct(*(F.col(f"{c}_{x}").alias(n + y) for x, y in zip(order, "ab") for c, n in (("node", ""), ("support", "s"))), *(information(F.col(f"giv_{x}")).alias("i" + y) for x, y in zip(order, "ab"))) for order in ("ab", "ba")))
-    return cut(scored.select("score", F.inline(ways)).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("score", "ia", "ib", "sa", "sb"))))
+    ways = F.array(*(F.struct(*(F.col(f"{c}_{x}").alias(n + y) for x, y in zip(order, "ab") for c, n in (("node", ""), ("support", "s"), ("usual", "u"))), *(information(F.col(f"giv_{x}")).alias("i" + y) for x, y in zip(order, "ab"))) for order in ("ab", "ba")))
+    return cut(scored.select("score", F.inline(ways)).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("score", "ia", "ib", "sa", "sb", "ua", "ub"))))
 
 
 def persons(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, person): each node points at its best link of more information or support; the pointers' roots are the persons.
+    """(node, person): each node points at its best link of more information, support or usual words; the pointers' roots are the persons.
 
     A spelling that tells less than its partners (initials, no middle name) follows them only if they
     agree with each other: all must be linked to the best supported of them. Otherwise it stays apart.
     """
-    rank = F.struct("sb", "score", "b")
+    rank = F.struct("sb", "ub", "score", "b")
     fuller = F.col("ib") > F.col("ia")
-    peer = (F.col("ib") == F.col("ia")) & (F.struct("sb", "b") > F.struct("sa", "a"))
+    peer = (F.col("ib") == F.col("ia")) & (F.struct("sb", "ub", "b") > F.struct("sa", "ua", "a"))
     best = links.groupBy("a").agg(F.max_by("b", F.when(fuller, rank)).alias("hub"), F.count_if(fuller).alias("k"), F.max_by("b", F.when(peer, rank)).alias("peer"))
     others = links.where(fuller).select("a", "b").join(best.where("k > 1").select("a", "hub"), "a").where("b <> hub")
     agreeing = others.join(links.select(F.col("a").alias("b"), F.col("b").alias("hub")), ["b", "hub"], "left_semi").groupBy("a").agg(F.count("*").alias("ok"))
