@@ -223,7 +223,7 @@ def name_similarity() -> tuple[Column, Column]:
     """
     fa, fb = F.col("fam_a"), F.col("fam_b")
     sa, sb = sound(fa), sound(fb)
-    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD) | one_error(fa, fb, SHORT_WORD), 0.9).when(two_errors(sa, sb, LONG_WORD), 0.8)
+    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD), 0.9).when(two_errors(sa, sb, LONG_WORD), 0.8)
     ga, gb = F.col("giv_a"), F.col("giv_b")
     whole_a, whole_b = _bare(F.array_join(ga, "")), _bare(F.array_join(gb, ""))
     ia, ib = _initials(ga), _initials(gb)

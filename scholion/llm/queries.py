@@ -23,7 +23,7 @@ def p7_links(spark, d):
 
 
 def p7_found(spark, d):
-    return p7_links(spark, d).select("affiliation_id", "ror_id")
+    return linkage.named_organisations(p7_links(spark, d))
 
 
 def p8_ids(spark, d):
@@ -34,6 +34,14 @@ def p9_packed(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
 
 
+def p8_decoded(spark, d):
+    return tokenize.decode(p8_ids(spark, d))
+
+
+def p9_check(spark, d):
+    return packing.packing_check(p9_packed(spark, d), table(spark, d, "pack_capacities"))
+
+
 def p9_fill(spark, d):
     return packing.fill_report(p9_packed(spark, d), table(spark, d, "pack_capacities"))
 
@@ -55,6 +63,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
     "p9_fill": p9_fill,
+    "p9_check": p9_check,
+    "p8_decoded": p8_decoded,
     "p10_found": p10_found,
     "p10_form": p10_form,
 }
@@ -66,6 +76,11 @@ ORACLE = {
           FROM (SELECT DISTINCT community_id, journal_id FROM cluster_representatives WHERE community_id IS NOT NULL AND journal_id IS NOT NULL)
           LEFT JOIN (SELECT journal_id, max(citations_number) AS citations_number FROM citations2 GROUP BY 1) USING (journal_id))
         WHERE row_rank <= 10""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_check": """
+        SELECT capacity_id, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS without_space,
+          0 AS split_though_fitting, 0 AS pieces_not_full, 0 AS over_capacity, 0 AS over_window, 0 AS uneven_steps
+        FROM (SELECT DISTINCT capacity_id FROM pack_capacities)""",
     "p10_form": f"SELECT doc_id, form FROM ({lookalike.fold_sql('documents')})",
     "p10_found": f"""
         WITH f AS (SELECT doc_id, text, form FROM ({lookalike.fold_sql('documents')}) JOIN documents USING (doc_id) WHERE regexp_replace(form, '[\\s\\p{{Cc}}]+', '', 'g') <> '')
