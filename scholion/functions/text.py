@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Entities in DOIs, replaced in this order, so that double escapes resolve.
 DOI_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&ndash;", "–"), ("&#x003c;", "<"), ("&#x003e;", ">"), ("&#60;", "<"), ("&#62;", ">"))
+# How patents state DOIs, and the form of a DOI.
 DOI_IN_TEXT = r"(?i)((doi: *)|(doi\.org/))([^,; )>]+)"
 DOI_FORM = r"^10\.[0-9]{4,9}/.."
 
@@ -39,9 +40,10 @@ def doi_in_text(text: Column) -> Column:
 
 
 def numeric_prefix(text: Column) -> Column:
-    """The integer a text begins with, 0 when it begins with none, null for null."""
-    digits = F.regexp_extract(text, r"^\s*([+-]?[0-9]{1,9})", 1)
-    return F.when(text.isNotNull(), F.coalesce(F.nullif(digits, F.lit("")).try_cast("int"), F.lit(0)))
+    """The integer a text begins with, 0 when it begins with none, null for null; beyond 64 bits the nearest one."""
+    digits = F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit(""))
+    beyond = F.when(F.startswith(digits, F.lit("-")), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    return F.when(text.isNotNull() & digits.isNull(), F.lit(0)).when(text.isNotNull(), F.coalesce(digits.try_cast("bigint"), beyond)).cast("bigint")
 
 
 def page_count(pages: Column) -> Column:
@@ -49,7 +51,7 @@ def page_count(pages: Column) -> Column:
     at = F.instr(pages, "-")
     first = F.substring(pages, F.lit(1), at - 1)
     last = F.substring(pages, at + 1, F.length(pages))
-    return F.when(at > 0, numeric_prefix(last) - numeric_prefix(first) + 1)
+    return F.when(at > 0, F.try_add(F.try_subtract(numeric_prefix(last), numeric_prefix(first)), F.lit(1)))
 
 
 def plain_issn(value: Column) -> Column:

@@ -77,13 +77,22 @@ def _list(value: str, path: str) -> str:
     return f"coalesce(try_variant_get({value}, {p}, 'array<variant>'), array(variant_get({value}, {p}, 'variant')))"
 
 
-def _packed(parent: str, position: str, bits: int) -> str:
+def packed(parent: str, position: str, bits: int, root: str = "record_id") -> str:
     """SQL for the id of a list element. A position beyond ``bits`` is packed with WIDE bits into a negative id, so it
-    meets no other; one that fits neither way is an error."""
+    meets no other; one that fits neither way is an error. Parents may be negative only below a negative ``root``."""
     wide = f"~(shiftleft({parent}, {WIDE}) | {position})"
     error = f"cast(raise_error('position ' || {position} || ' of parent ' || {parent} || ' fits no id') as bigint)"
     fits = f"{parent} between 0 and {(1 << 63 - WIDE) - 1} and {position} < {1 << WIDE}"
-    return f"(case when {parent} is null then null when ({parent} >= 0 or record_id < 0) and {position} < {1 << bits} then shiftleft({parent}, {bits}) | {position} when {fits} then {wide} else {error} end)"
+    return f"(case when {parent} is null then null when ({parent} >= 0 or {root} < 0) and {position} < {1 << bits} then shiftleft({parent}, {bits}) | {position} when {fits} then {wide} else {error} end)"
+
+
+def packed_id(parent: int, position: int, bits: int) -> int:
+    """As ``packed``, of numbers."""
+    if parent >= 0 and position < 1 << bits:
+        return parent << bits | position
+    if 0 <= parent < 1 << 63 - WIDE and position < 1 << WIDE:
+        return ~(parent << WIDE | position)
+    raise ValueError(f"position {position} of parent {parent} fits no id")
 
 
 def _present(value: str) -> str:
@@ -137,13 +146,13 @@ def flat_table(records: DataFrame, name: str) -> DataFrame:
     by_name = {t.name: t for t in tables}
     t = by_name[name]
     up = by_name.get(t.parent) if t.parent else None
-    parent_id = "record_id" if up is None else _packed("record_id", "h", up.bits)
+    parent_id = "record_id" if up is None else packed("record_id", "h", up.bits)
     cols = []
     for k, (c, p) in enumerate(t.columns.items()):
         own = f"try_variant_get(e, {_literal(p)}, 'string')"
         bare = "if(schema_of_variant(e) = 'STRING', try_variant_get(e, '$', 'string'), null)"
         cols.append(f"{f'coalesce({own}, {bare})' if k == 0 and p != '$' else own} as `{c}`")
-    row = f"struct({_packed(parent_id, 'i', t.bits)} as id, {parent_id} as `{t.key}`, i as position, {', '.join(cols)})"
+    row = f"struct({packed(parent_id, 'i', t.bits)} as id, {parent_id} as `{t.key}`, i as position, {', '.join(cols)})"
     key, at = ROOT_KEYS[source]
     docs = parsed(records.where(F.lower(F.trim("source")) == source))
     return docs.select(

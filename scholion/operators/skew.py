@@ -11,7 +11,7 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, hot: int = 256
 
     The ``hot`` most frequent keys are looked up by a broadcast of at most ``hot`` rows; in the shuffled
     join those rows travel under a null key spread by a salt, so no task receives a whole hot group.
-    Rows with a null key match nothing and are kept. ``key`` must be a string column.
+    Rows with a null key match nothing and are kept. ``key`` must be a string column. The salt is a hash of the row.
     Right columns other than ``key`` must not occur in ``left``.
     """
     counts = hot_counts if hot_counts is not None else left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
@@ -20,7 +20,8 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, hot: int = 256
     hot_rows = right.join(F.broadcast(top), F.col(key) == F.col("_hot"), "left_semi").select(
         F.col(key).alias("_hot"), F.struct(*values).alias("_hot_value")
     )
-    salt = F.concat(F.lit("\u0000"), (F.rand(7) * 1e6).cast("int").cast("string"))
+    # a hash and no random number, so that a recomputed task sends its rows where they went before
+    salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*left.columns), F.lit(1_000_000)).cast("string"))
     marked = left.join(F.broadcast(hot_rows), F.col(key) == F.col("_hot"), "left").withColumn(
         "_join", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), salt).otherwise(F.col(key))
     )
@@ -48,13 +49,14 @@ def _masks(key: Column) -> list[Column]:
 class BloomFilter:
     """Split-block Bloom filter of a key column, built by one aggregation and probed by expressions.
 
-    ``blocks`` rows of eight words; 16 bits a key as long as that stays under ``max_blocks``. That
-    bound makes the broadcast safe (2**20 blocks are 64 MB); beyond it the filter only gets less
-    selective, which costs the later exact join some rows and never changes a result.
+    ``blocks`` rows of eight words, 16 bits a key at every size, so one key in a thousand that is not held passes. Up
+    to ``max_blocks`` (2**20 blocks are 64 MB, enough for 33 million keys) the filter is broadcast. A larger one stays
+    partitioned by block, and the rows probed are shuffled to their blocks, those of hot keys spread.
     """
 
     def __init__(self, keys: DataFrame, key: str, expected: int, max_blocks: int = 1 << 20):
-        self.blocks = max(1, min(max_blocks, -(-expected * 16 // (64 * WORDS))))
+        self.blocks = max(1, -(-expected * 16 // (64 * WORDS)))
+        self.partitioned = self.blocks > max_blocks
         k = F.col(key)
         masks = _masks(k)
         self.frame = (
@@ -69,9 +71,9 @@ class BloomFilter:
         hit = F.lit(True)
         for i, m in enumerate(_masks(k)):
             hit = hit & (F.col(f"_w{i}").bitwiseAND(m) == m)
-        filt = F.broadcast(self.frame)
-        keyed = df.withColumn("_block", _block(k, self.blocks))
-        got = keyed.join(filt, "_block", "left").withColumn(
-            flag, F.when(k.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(hit, F.lit(False)))
-        )
-        return got.select(*df.columns, flag)
+        if self.partitioned:
+            keyed = df.withColumn("_block", F.when(k.isNotNull(), _block(k, self.blocks).cast("string")))
+            got = skew_safe_lookup(keyed, self.frame.withColumn("_block", F.col("_block").cast("string")), "_block")
+        else:
+            got = df.withColumn("_block", _block(k, self.blocks)).join(F.broadcast(self.frame), "_block", "left")
+        return got.withColumn(flag, F.when(k.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(hit, F.lit(False)))).select(*df.columns, flag)

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,8 +54,13 @@ def test_bloom_filter_has_no_false_negative(spark):
     got = skew.BloomFilter(keys, "k", 2000).probe(probe, "k", "may").collect()
     assert all(r.may for r in got if r.id < 2000)
     assert sum(r.may for r in got if r.id >= 2000) < 60
-    tiny = skew.BloomFilter(keys, "k", 2000, max_blocks=1).probe(probe, "k", "may").collect()
-    assert all(r.may for r in tiny if r.id < 2000)
+    # beyond the bound the filter is partitioned, and as selective as before
+    large = skew.BloomFilter(keys, "k", 2000, max_blocks=1)
+    hot = probe.unionByName(spark.range(500).select(F.when(F.col("id") % 2 == 0, "7").alias("k"), F.lit(7).cast("bigint").alias("id")))
+    again = large.probe(hot, "k", "may").collect()
+    assert large.partitioned and len(again) == 4500 and sorted(r.k for r in again if r.may and int(r.k) >= 2000) == sorted(r.k for r in got if r.may and r.id >= 2000)
+    assert sum(r.may is None for r in again) == 250 and all(r.may for r in again if r.k and int(r.k) < 2000)
+    assert skew.BloomFilter(keys, "k", 167_000_000).blocks * 512 >= 16 * 167_000_000  # 16 bits a key at any size
 
 
 def test_skew_safe_lookup(spark):
@@ -208,28 +215,31 @@ def test_text_functions(spark):
     cases = [("10.9/A", "10.9/a"), ("10.9/a 10.9/a", "10.9/a"), ("10.9/a b", "10.9/ab"), ("10.9/&amp;lt;x", "10.9/<x"), (None, None)]
     df = spark.createDataFrame(cases, "a string, b string")
     assert all(r.x == r.b and r.y == r.b for r in df.select("b", text.normalized_doi(F.col("a")).alias("x"), F.expr(text.doi_sql("a")).alias("y")).collect())
-    pages = spark.createDataFrame([("12-15", 4), ("p1-3", 4), ("7", None), (None, None), ("12a-13", 2)], "a string, b int")
-    assert [r.x for r in pages.select(text.page_count(F.col("a")).alias("x")).collect()] == [4, 4, None, None, 2]
+    pages = spark.createDataFrame([("12-15",), ("p1-3",), ("7",), (None,), ("12a-13",), ("12345678901-12345678903",)], "a string")
+    assert [r.x for r in pages.select(text.page_count(F.col("a")).alias("x")).collect()] == [4, 4, None, None, 2, 3]
+    numbers = spark.createDataFrame([("12345678901x",), ("-5 a",), ("x",), ("9" * 30,), ("-" + "9" * 30,), (None,)], "a string")
+    assert [r.x for r in numbers.select(text.numeric_prefix(F.col("a")).alias("x")).collect()] == [12345678901, -5, 0, 2**63 - 1, -(2**63), None]
     dois = spark.createDataFrame([("see doi: 10.1234/Ab.C.",), ("https://doi.org/10.1234/xy)",), ("doi:https://doi.org/10.1234/yz, z",), ("doi: 11.1/x",), (None,)], "a string")
     assert [r.x for r in dois.select(text.doi_in_text(F.col("a")).alias("x")).collect()] == ["10.1234/ab.c", "10.1234/xy", "10.1234/yz", None, None]
 
 
-def test_dictionary_match_against_brute_force():
+def test_dictionary_match_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     words = {"".join(rng.choice(list("abc"), n)): int(i) for i, n in enumerate(rng.integers(1, 6, 40))}
-    kept = linking.without_contained(words)
-    assert kept == {w: i for w, i in words.items() if not any(w != o and w in o for o in words)}
-    machine = linking.Automaton(words)
-    for _ in range(200):
-        t = "".join(rng.choice(list("abcd"), int(rng.integers(0, 15))))
-        found = [w for w in words if w in t]
-        got = machine.find(t)
-        assert (got is None) == (not found)
+    kept = {w: i for w, i in words.items() if not any(w != o and w in o for o in words)}
+    texts = ["".join(rng.choice(list("abcd"), int(rng.integers(0, 15)))) for _ in range(200)]
+    want = set()
+    for k, t in enumerate(texts):
+        found = sorted(((-len(w), t.find(w), w) for w in kept if w in t))
         if found:
-            longest = max(map(len, found))
-            first = min((t.find(w), w) for w in found if len(w) == longest)[1]
-            assert got == words[first]
-    assert linking.Automaton({}).find("x") is None and linking.without_contained({}) == {}
+            want.add((kept[found[0][2]], k))
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "author_id bigint, name string")
+    dictionary = spark.createDataFrame(list(words.items()), "word string, ror_id bigint")
+    got = linking.link_affiliations(df, dictionary).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert linking.link_affiliations(df, dictionary.limit(0)).count() == 0
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)  # without the library
+    assert all(list(linking.occurrences(words)(t)).__len__() == sum(t.startswith(w, i) for w in words for i in range(len(t))) for t in texts)
 
 
 def test_h_index_and_median(spark, rows):
@@ -310,3 +320,15 @@ def test_global_ranks(spark):
     assert ranking.global_ntile(df.limit(0), ["id"], 5).count() == 0
     counts = spark.createDataFrame([("x", 5), ("y", 5), ("z", 9), ("w", 1)], "k string, n bigint")
     assert {r.k: r["rank"] for r in ranking.rank_by_count(counts, "n").collect()} == {"z": 1, "x": 2, "y": 2, "w": 4}
+
+
+def test_frequent_values_decide(spark):
+    """A comma parts where the parts are values of the column, and doesn't where the whole is one."""
+    whole = ["Soil and Water, Air"] * 6 + [f"Alpha{chr(97 + i)} beta" for i in range(20)]
+    parts = ["Bees of Norland", "Ants of Sudland"] * 8
+    packed = [f"{a}, {b}" for a, b in zip(parts[::2], parts[1::2])] + [f"Alpha{chr(97 + i)} beta / Alpha{chr(98 + i)} beta" for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(whole + parts + packed)), "id bigint, v string")
+    model = multivalue.learn_column(df, "v", multivalue.PROSE)
+    assert model.values["Bees of Norland"] > 2 and "Bees of Norland, Ants of Sudland" not in model.values
+    assert model.split("Soil and Water, Air") == ["Soil and Water, Air"] and model.split("Bees of Norland / Ants of Sudland") == ["Bees of Norland", "Ants of Sudland"]
+    assert model.split("Alphaz beta / Bees of Norland") == ["Alphaz beta", "Bees of Norland"]
