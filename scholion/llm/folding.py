@@ -11,4 +11,6 @@ _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th",
 def plain(text: str) -> str:
     """Compatibility form, lower case, without accents."""
     folded = unicodedata.normalize("NFKD", text).lower().translate(_PLAIN)
+    if folded.isascii():
+        return folded
     return "".join(c for c in folded if not unicodedata.combining(c))
