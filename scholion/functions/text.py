@@ -56,3 +56,16 @@ def page_count(pages: Column) -> Column:
 
 def plain_issn(value: Column) -> Column:
     return F.nullif(F.replace(F.replace(value, F.lit("-"), F.lit("")), F.lit(" "), F.lit("")), F.lit(""))
+
+
+def phrase_pattern(phrase: str) -> str:
+    """A pattern for the words of a phrase, one after the other in any case, whatever stands between them but letters and digits."""
+    import re
+
+    words = [re.escape(w) for w in re.findall(r"[^\W_]+", phrase)]
+    return r"(?i)(?:^|[^\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(words) + r"(?:[^\p{L}\p{N}]|$)"
+
+
+def mentions(text: Column, *phrases: str) -> Column:
+    """Whether a text holds one of the phrases as whole words (full-text phrase search, phrases joined by OR)."""
+    return text.rlike("|".join(map(phrase_pattern, phrases)))

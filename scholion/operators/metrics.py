@@ -10,7 +10,7 @@ from scholion.session import cut
 
 def deduplicated_works(works: DataFrame) -> DataFrame:
     """One row a work id: its latest delivery that is no removal notice."""
-    row = F.struct("indexed_at", "doi", "published_year", "title", "issn_print", "issn_electronic", "page", "type", "publisher")
+    row = F.struct("indexed_at", "doi", "published_year", "title", "issn_print", "issn_electronic", "page", "type", "publisher", "published_month", "published_day")
     return works.where("deleted_at is null").groupBy("id").agg(F.max(row).alias("r")).select("id", "r.*")
 
 
@@ -79,8 +79,8 @@ def coupling(citing: DataFrame, unit: str, reference: str, shared: int) -> DataF
     return a.join(b, reference).where("unit_a < unit_b").groupBy("unit_a", "unit_b").agg(F.count("*").alias("coupling_strength")).where(F.col("coupling_strength") >= shared)
 
 
-def disruption(works: DataFrame, edges: DataFrame, days: int = 5 * 365, hot: int = 1000) -> DataFrame:
-    """id, cd, n: the CD index of works that cite something, within ``days`` after each.
+def disruption(works: DataFrame, edges: DataFrame, days: int = 5 * 365, hot: int = 1000, until: int | None = None) -> DataFrame:
+    """id, cd, n: the CD index of works that cite something, within ``days`` after each; of works up to the day ``until`` where it is given.
 
     works(id, day), edges(citing, cited) with distinct pairs between known works. A later work counts once for a
     focal work: -2*f*b + f, with f = cites the focal work, b = cites one of its references (Funk and Owen-Smith 2017).
@@ -93,7 +93,8 @@ def disruption(works: DataFrame, edges: DataFrame, days: int = 5 * 365, hot: int
     popular = edges.groupBy("cited").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("cited")
     hot_sets = cut(edges.join(popular, "cited", "left_semi").groupBy("citing").agg(F.array_sort(F.collect_set("cited")).alias("hot")))
     on = edges.join(day, "citing").join(hot_sets, "citing", "left")
-    focal = works.join(edges.select(F.col("citing").alias("id")).distinct(), "id", "left_semi").join(hot_sets.select(F.col("citing").alias("id"), F.col("hot").alias("own_hot")), "id", "left")
+    early = works if until is None else works.where(F.col("day") <= until)
+    focal = early.join(edges.select(F.col("citing").alias("id")).distinct(), "id", "left_semi").join(hot_sets.select(F.col("citing").alias("id"), F.col("hot").alias("own_hot")), "id", "left")
     within = (F.col("citing_day") > F.col("day")) & (F.col("citing_day") <= F.col("day") + days)
     meets_hot = F.coalesce(F.arrays_overlap("hot", "own_hot"), F.lit(False)).alias("h")
     direct = on.select(F.col("cited").alias("id"), F.col("citing").alias("later"), "citing_day", "hot").join(focal, "id").where(within).select("id", "later", meets_hot, F.lit(1).alias("f"), F.lit(0).alias("b"))
@@ -160,8 +161,11 @@ def over_mean(scores: DataFrame, value: str) -> DataFrame:
     return scores.select("journal", (F.col(value) / mean).alias("score"))
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """node, community: label propagation over a weighted undirected graph (a, b, w); ties take the smaller label."""
+def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """node, community: label propagation over a weighted undirected graph (a, b, w); ties take the smaller label.
+
+    Labels that still move after ``rounds`` are an error, as they would depend on it.
+    """
     both = cut(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     state = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
     for k in range(rounds):
@@ -172,8 +176,8 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         new = cut(state.join(best, "node").select("node", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community"), (moves & (F.col("best") != F.col("community"))).alias("moved"), (F.col("best") != F.col("community")).alias("wants")))
         state = new.select("node", "community")
         if new.where("wants").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"the labels still move after {rounds} rounds")
 
 
 def soft_communities(edges: DataFrame, labels: DataFrame, nodes: DataFrame, least: float = 0.3) -> DataFrame:
@@ -203,7 +207,7 @@ def context_impact(members: DataFrame, journals: DataFrame) -> DataFrame:
 
 
 def effect_size(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, median, maximum and deviation of two groups (0 and 1), Cohen's d and Cliff's delta, in one row.
+    """Mean, median, maximum, standard deviation and population variance of two groups (0 and 1), Cohen's d and Cliff's delta, in one row.
 
     Cliff's delta comes from counts by value, so its window runs over the distinct values.
     """
@@ -214,7 +218,7 @@ def effect_size(samples: DataFrame, group: str, value: str) -> DataFrame:
 
     v = F.col("v")
     stats = rows.agg(
-        *(x.alias(f"{n}_{g}") for g in (0, 1) for n, x in (("n", F.count(of(g, v))), ("mean", F.avg(of(g, v))), ("median", F.median(of(g, v))), ("most", F.max(of(g, v))), ("variance", F.var_pop(of(g, v)))))
+        *(x.alias(f"{n}_{g}") for g in (0, 1) for n, x in (("n", F.count(of(g, v))), ("mean", F.avg(of(g, v))), ("median", F.median(of(g, v))), ("most", F.max(of(g, v))), ("sd", F.stddev_samp(of(g, v))), ("variance", F.var_pop(of(g, v)))))
     )
     counts = rows.groupBy("v").agg(F.count(of(0, v)).alias("n0"), F.count(of(1, v)).alias("n1"))
     below = F.coalesce(F.sum("n0").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ ORACLE: dict = {}
 
 #: Deliveries of a work to one row, and references with a DOI, as in metrics.deduplicated_works and metrics.citations.
 _W = """w AS (SELECT id, unnest(max({'a': indexed_at, 'doi': doi, 'published_year': published_year, 'title': title, 'issn_print': issn_print,
-  'issn_electronic': issn_electronic, 'page': page, 'type': type, 'publisher': publisher})) FROM works WHERE deleted_at IS NULL GROUP BY id)"""
+  'issn_electronic': issn_electronic, 'page': page, 'type': type, 'publisher': publisher, 'published_month': published_month, 'published_day': published_day})) FROM works WHERE deleted_at IS NULL GROUP BY id)"""
 _C = "c AS (SELECT DISTINCT work_id, lower(trim(doi)) AS doi FROM work_references WHERE doi IS NOT NULL AND trim(doi) <> '')"
 
 
@@ -431,9 +433,12 @@ def unique_names(t):
     return named.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id", "name")
 
 
-@study()
+@study("""WITH n AS (SELECT name AS word, min(id) AS ror_id FROM (SELECT DISTINCT id, name, status FROM research_organizations WHERE coalesce(status, '') <> 'withdrawn' AND name IS NOT NULL) GROUP BY name HAVING count(*) = 1),
+inside AS (SELECT DISTINCT a.word FROM n a JOIN n b ON a.word <> b.word AND contains(b.word, a.word)), kept AS (SELECT * FROM n WHERE word <> '' AND word NOT IN (SELECT word FROM inside)),
+f AS (SELECT DISTINCT id, affiliation FROM pubmed_author_affiliations WHERE affiliation IS NOT NULL)
+SELECT DISTINCT arg_min(ror_id, (-length(word), strpos(affiliation, word))) AS ror_id, id AS work_author_id FROM f JOIN kept ON contains(affiliation, word) GROUP BY id, affiliation""")
 def dictionary_longest_match(t):
-    """The organisation of the longest unique name in each affiliation; tested against brute force on a fixture."""
+    """The organisation of the longest unique name in each affiliation."""
     orgs = t("research_organizations").select("id", "name", "status").distinct()
     none = orgs.sparkSession.createDataFrame([], "ror_id bigint, alias string, acronym string")
     words = linking.name_dictionary(orgs, none, none)
@@ -494,23 +499,28 @@ def effect_size(t):
     return got.select("n_0", "n_1", F.col("median_0").cast("double").alias("median_0"), F.col("median_1").cast("double").alias("median_1"), F.round("cohens_d", 6).alias("cohens_d"), F.round("cliffs_delta", 6).alias("cliffs_delta"))
 
 
-_E = """n AS (SELECT lower(trim(doi)) AS doi, min(id) AS id, min(make_date(published_year, 1, 1)) AS day FROM w WHERE doi IS NOT NULL AND published_year BETWEEN 1900 AND 2100 GROUP BY 1),
+_E = """n AS (SELECT lower(trim(doi)) AS doi, min(id) AS id, min(coalesce(try_cast(printf('%d-%d-%d', published_year, coalesce(published_month, 1), coalesce(published_day, 1)) AS DATE), make_date(published_year, 1, 1))) AS day FROM w WHERE doi IS NOT NULL AND published_year BETWEEN 1945 AND 2023 GROUP BY 1),
 e AS (SELECT DISTINCT a.id AS citing, b.id AS cited FROM c JOIN n a ON a.id = c.work_id JOIN n b ON b.doi = c.doi WHERE a.id <> b.id)"""
 
 
 def _graph(t):
-    w = _works(t).where("doi is not null and published_year between 1900 and 2100")
-    nodes = w.groupBy(F.lower(F.trim("doi")).alias("doi")).agg(F.min("id").alias("id"), F.datediff(F.min(F.make_date("published_year", F.lit(1), F.lit(1))), F.lit("1900-01-01")).alias("day"))
+    """(id, day), (citing, cited) of the works of 1945 to 2023; days count from 1900, a missing month or day is the first."""
+    w = _works(t).where("doi is not null and published_year between 1945 and 2023")
+    one = F.lit(1)
+    whole = F.concat_ws("-", "published_year", F.coalesce("published_month", one), F.coalesce("published_day", one)).try_cast("date")
+    day = F.coalesce(whole, F.make_date("published_year", one, one))
+    nodes = w.groupBy(F.lower(F.trim("doi")).alias("doi")).agg(F.min("id").alias("id"), F.datediff(F.min(day), F.lit("1900-01-01")).alias("day"))
     c = _citations(t).join(nodes.select(F.col("id").alias("work_id")), "work_id", "left_semi").join(nodes.select("doi", F.col("id").alias("cited")), "doi")
     return nodes.select("id", "day"), c.select(F.col("work_id").alias("citing"), "cited").where("citing <> cited").distinct()
 
 
 @study(f"""WITH {_W}, {_C}, {_E}, d AS (SELECT f.id, e.citing AS later, 1 AS f, 0 AS b FROM n f JOIN e ON e.cited = f.id JOIN n l ON l.id = e.citing WHERE date_diff('day', f.day, l.day) BETWEEN 1 AND 1825 AND f.id IN (SELECT citing FROM e)
 UNION ALL SELECT f.id, x.citing, 0, 1 FROM n f JOIN e r ON r.citing = f.id JOIN e x ON x.cited = r.cited JOIN n l ON l.id = x.citing WHERE date_diff('day', f.day, l.day) BETWEEN 1 AND 1825),
-s AS (SELECT id, later, max(f) AS f, max(b) AS b FROM d GROUP BY ALL) SELECT id, round(avg(f - 2 * f * b), 6) AS cd, count(*)::BIGINT AS n FROM s GROUP BY 1""")
+s AS (SELECT id, later, max(f) AS f, max(b) AS b FROM d WHERE id IN (SELECT id FROM n WHERE day <= DATE '2018-12-31') GROUP BY ALL) SELECT id, round(avg(f - 2 * f * b), 6) AS cd, count(*)::BIGINT AS n FROM s GROUP BY 1""")
 def disruption_index(t):
     works, edges = _graph(t)
-    return metrics.disruption(works, edges).select("id", F.round("cd", 6).alias("cd"), "n")
+    until = (date(2018, 12, 31) - date(1900, 1, 1)).days
+    return metrics.disruption(works, edges, until=until).select("id", F.round("cd", 6).alias("cd"), "n")
 
 
 def _journal_edges(t):
@@ -583,14 +593,32 @@ def ego_graphs(t):
 _TOOLS = ["stratified sampling", "optical profiling", "record linkage", "gradient elution"]
 
 
-@study("SELECT published_year::INTEGER AS year, tool, round(100 * avg(CASE WHEN text ILIKE '%' || tool || '%' THEN 1 ELSE 0 END), 1) AS share FROM documents, (SELECT unnest([" + ", ".join(f"'{x}'" for x in _TOOLS) + "]) AS tool) WHERE text IS NOT NULL AND published_year IS NOT NULL GROUP BY ALL")
+_PHRASES = {x: r"(?i)(^|[^\p{L}\p{N}])" + x.replace(" ", r"[^\p{L}\p{N}]+") + r"([^\p{L}\p{N}]|$)" for x in _TOOLS}
+
+
+@study("SELECT published_year::INTEGER AS year, tool, round(100 * avg(CASE WHEN regexp_matches(text, pattern) THEN 1 ELSE 0 END), 1) AS share FROM documents, (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _PHRASES.items()) + ") p(tool, pattern) WHERE text IS NOT NULL AND published_year IS NOT NULL GROUP BY ALL")
 def mention_share(t):
-    """Share of texts of a year that mention each phrase: all phrases in one pass."""
-    hits = [F.avg(F.col("text").ilike(f"%{x}%").cast("int")).alias(x) for x in _TOOLS]
+    """Share of texts of a year that mention each phrase as whole words: all phrases in one pass."""
+    hits = [F.avg(text.mentions(F.col("text"), x).cast("int")).alias(x) for x in _TOOLS]
     got = t("documents").where("text is not null and published_year is not null").groupBy(F.col("published_year").alias("year")).agg(*hits)
     return got.unpivot(["year"], _TOOLS, "tool", "s").select("year", "tool", F.round(100 * F.col("s"), 1).alias("share"))
 
 
+@study(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_PHRASES[_TOOLS[0]]}') OR regexp_matches(text, '{_PHRASES[_TOOLS[2]]}')")
+def phrase_search(t):
+    """Full-text search for one phrase or another."""
+    return t("documents").where(text.mentions(F.col("text"), _TOOLS[0], _TOOLS[2])).select("doc_id")
+
+
+@study("""SELECT * FROM (SELECT year(o_orderdate)::INTEGER AS year, c_nationkey, count(*)::BIGINT AS orders, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY count(*) DESC, c_nationkey)::INTEGER AS place
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY year(o_orderdate), c_nationkey) WHERE place <= 5""")
+def ranked_groups_per_year(t):
+    """row_number over an aggregate: the five nations of most orders a year."""
+    counted = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.year("o_orderdate").alias("year"), "c_nationkey").agg(F.count("*").alias("orders"))
+    place = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("orders"), "c_nationkey"))
+    return counted.withColumn("place", place).where("place <= 5")
+
+
 @study("""SELECT year(o_orderdate)::INTEGER AS year, coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0) AS "F", coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0) AS "O", coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 0) AS "P" FROM orders GROUP BY 1""".replace("coalesce(sum", "round(coalesce(sum").replace(", 0) AS", ", 0), 2) AS"))
 def pivot_year_status(t):
     got = t("orders").groupBy(F.year("o_orderdate").alias("year")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("o_totalprice"))

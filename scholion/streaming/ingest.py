@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,17 @@ def populate_on_arrival(spark: SparkSession, source: Callable, folder: str, data
     """Populates a database with each batch of container files that arrives: one folder ``<table>/batch=N`` a batch.
 
     A batch that is run again after a failure replaces its own folders, so every record is there once.
-    ``source`` makes a source from (session, folder, sample); it is told to read the batch's files only.
+    ``source`` makes a source of container files from (session, folder); it is given the batch's files, with container ids of
+    batch number and place in the batch, so that ids are never used twice, in whatever order files arrive.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        # names of at most maxFilesPerTrigger files
-        names = {os.path.basename(r.path) for r in batch.select("path").collect()}
-        if not names:
+        # paths of at most maxFilesPerTrigger files
+        paths = sorted(unquote(urlparse(r.path).path) for r in batch.select("path").collect())
+        if not paths:
             return
-        chosen = source(spark, folder, lambda path: os.path.basename(path) in names)
+        chosen = source(spark, folder)
+        chosen.numbering = {p: (number << 20) | i for i, p in enumerate(paths)}
         for table, frame in chosen.selected(columns, condition).items():
             frame.write.mode("overwrite").parquet(os.path.join(database, table, f"batch={number}"))
 
