@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 from scholion.session import cut
 
-# Characters of other scripts, and signs, that look like a Latin letter or an ASCII sign.
+# Characters of other scripts, and signs, whose usual shape is that of a Latin letter or an ASCII sign. Letters that
+# are only alike (Greek alpha and a, minus and hyphen) are left as they are: a reader can tell them apart.
 LOOKALIKES = {
     "аеорсухіѕјһԁԛԝӏ": "aeopcyxisjhdqwl",
     "АВЕКМНОРСТХІЅЈУԌԚԜ": "ABEKMHOPCTXISJYGQW",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳͿ": "ABEZHIKMNOPTYXocjJ",
-    "ɡɑ∶‐‑": "ga:--",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳͿρν": "ABEZHIKMNOPTYXocjJpv",
+    "օսհոՕՏ": "ouhnOS",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ": "DRTAJEWMHGZRWSVSLCPKB",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
+    "ⲟⲣⲥⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ": "opcHIKMNOPCTYX",
+    "ᴄᴏꜱᴜᴠᴡᴢ": "cosuvwz",
+    "ɡɑ∶‐‑∕⁄∣∗ǃ": "ga:--//|*!",
 }
 # Ranges of characters without a mark of their own.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200e\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0d\ufeff\uffa0\ufff9-\ufffb"
@@ -137,3 +143,17 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
     right = members.select(F.col("doc_id").alias("y"), "form", F.col("variant").alias("variant_b"))
     pairs = left.join(right, ["form", "variant_b"]).where("x <> y")
     return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+
+
+def lookalike_classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, links: every document with a visible text, the smallest id that looks like it, and how many look alike but differ.
+
+    Copies count each in ``links`` of the others; documents of equal text are no links. A document that nothing looks like is its
+    own class with 0 links.
+    """
+    visible = F.length(F.regexp_replace("form", r"[\s\p{Cc}]+", "")) > 0
+    members = cut(consistent_form(documents).where(visible).select("doc_id", F.md5("form").alias("form"), F.md5("text").alias("variant")).distinct())
+    variants = members.groupBy("form", "variant").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first"))
+    forms = variants.groupBy("form").agg(F.sum("n").alias("all"), F.min("first").alias("class_id"))
+    of = variants.join(forms, "form").select("form", "variant", "class_id", (F.col("all") - F.col("n")).alias("links"))
+    return members.join(of, ["form", "variant"]).select("doc_id", "class_id", "links")

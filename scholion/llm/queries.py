@@ -54,6 +54,10 @@ def p10_form(spark, d):
     return lookalike.consistent_form(table(spark, d, "documents")).select("doc_id", "form")
 
 
+def p10_classes(spark, d):
+    return lookalike.lookalike_classes(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
@@ -67,6 +71,7 @@ QUERIES = {
     "p8_decoded": p8_decoded,
     "p10_found": p10_found,
     "p10_form": p10_form,
+    "p10_classes": p10_classes,
 }
 
 ORACLE = {
@@ -82,6 +87,9 @@ ORACLE = {
           0 AS split_though_fitting, 0 AS pieces_not_full, 0 AS over_capacity, 0 AS over_window, 0 AS uneven_steps
         FROM (SELECT DISTINCT capacity_id FROM pack_capacities)""",
     "p10_form": f"SELECT doc_id, form FROM ({lookalike.fold_sql('documents')})",
+    "p10_classes": f"""
+        WITH f AS (SELECT doc_id, text, form FROM ({lookalike.fold_sql('documents')}) JOIN documents USING (doc_id) WHERE regexp_replace(form, '[\\s\\p{{Cc}}]+', '', 'g') <> '')
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS links FROM f""",
     "p10_found": f"""
         WITH f AS (SELECT doc_id, text, form FROM ({lookalike.fold_sql('documents')}) JOIN documents USING (doc_id) WHERE regexp_replace(form, '[\\s\\p{{Cc}}]+', '', 'g') <> '')
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id WHERE a.text <> b.text""",

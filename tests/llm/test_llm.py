@@ -173,6 +173,39 @@ def test_lookalikes(spark, rows):
     assert forms[9] is None and forms[10] == "" and forms[2] == plain and all(f is None or unicodedata.is_normalized("NFC", f) for f in forms.values())
 
 
+def test_lookalikes_of_every_kind_against_plain_rules(spark):
+    """Characters exchanged one by one for look-alikes, told by Unicode names and not by the tables, fold to the plain text; visible changes don't."""
+    rng = random.Random(4)
+    twins = {c: [chr(ord(c) + 0xFEE0)] for c in map(chr, range(0x21, 0x7F))}
+    for c in "aceopxyijs":
+        for script, name in (("CYRILLIC SMALL LETTER", dict(a="A", c="ES", e="IE", o="O", p="ER", x="HA", y="U", i="BYELORUSSIAN-UKRAINIAN I", j="JE", s="DZE")),):
+            twins[c].append(unicodedata.lookup(f"{script} {name[c]}"))
+    for c, name in dict(A="ALPHA", B="BETA", E="EPSILON", Z="ZETA", H="ETA", I="IOTA", K="KAPPA", M="MU", N="NU", O="OMICRON", P="RHO", T="TAU", X="CHI").items():
+        twins[c].append(unicodedata.lookup(f"GREEK CAPITAL LETTER {name}"))
+    rows_, i = [], 0
+    for k in range(120):
+        text = "".join(rng.choices("aceopxyijs AéÀBEZ10tnü", k=30)).strip() + f" {k}"
+        other = []
+        for c in text:
+            x = rng.choice(twins.get(c, [c]) + [c])
+            x = unicodedata.normalize(rng.choice(["NFC", "NFD"]), x) if x == c else x
+            other.append(x + rng.choice(["", "", "\u200b", "\u2060", "\u00ad"]))
+        other = "".join(other).replace(" ", rng.choice([" ", "\u00a0", "\u2009"]))
+        visible = rng.choice([text.replace("a", "b", 1) + "b", text.upper() + "q", text + "  x", unicodedata.normalize("NFD", text + "é").replace("\u0301", "") + "e"])
+        rows_ += [(i, text), (i + 1, other), (i + 2, visible)]
+        i += 3
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    forms = {r.doc_id: r.form for r in lookalike.consistent_form(df).collect()}
+    assert all(forms[k] == forms[k + 1] == unicodedata.normalize("NFC", rows_[k][1]) for k in range(0, i, 3))
+    assert all(forms[k] != forms[k + 2] for k in range(0, i, 3))
+    pairs = {tuple(r) for r in lookalike.lookalike_pairs(df).collect()}
+    links = {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    classes = {r.doc_id: (r.class_id, r.links) for r in lookalike.lookalike_classes(df).collect()}
+    assert set(classes) == set(range(i)) and all(classes[d][1] == links.get(d, 0) for d in classes) and all(classes[a][0] == classes[b][0] for a, b in pairs)
+
+
 def test_fold_is_idempotent():
     import duckdb
 
