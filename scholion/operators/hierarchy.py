@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholion.operators.skew import skew_safe_lookup
 from scholion.session import cut
 
 
-def parent_links(relationships: DataFrame, organizations: DataFrame) -> DataFrame:
+def all_links(relationships: DataFrame, organizations: DataFrame) -> DataFrame:
     """(id, parent) of ``ror_relationships``: Parent rows as stated, Child rows reversed; sides not held are left out.
 
-    Types are compared ignoring case and outer blanks. Should an organisation have several parents, the
-    smallest id is taken, so that every run gives the same forest.
+    Types are compared ignoring case and outer blanks. An organisation may have several parents.
     """
     kind = F.lower(F.trim("type"))
     held = organizations.where("id is not null and ror_path is not null").select("id", "ror_path").distinct()
@@ -21,11 +21,13 @@ def parent_links(relationships: DataFrame, organizations: DataFrame) -> DataFram
     own = held.select(F.col("id").alias("ror_id")).distinct()
     both = links.join(other, "ror_path").join(own, "ror_id", "left_semi")
     is_parent = F.col("kind") == "parent"
-    return (
-        both.select(F.when(is_parent, F.col("ror_id")).otherwise(F.col("other")).alias("id"), F.when(is_parent, F.col("other")).otherwise(F.col("ror_id")).alias("parent"))
-        .groupBy("id")
-        .agg(F.min("parent").alias("parent"))
-    )
+    return both.select(F.when(is_parent, F.col("ror_id")).otherwise(F.col("other")).alias("id"), F.when(is_parent, F.col("other")).otherwise(F.col("ror_id")).alias("parent")).distinct()
+
+
+def parent_links(relationships: DataFrame, organizations: DataFrame) -> DataFrame:
+    """One (id, parent) an organisation, for its path: of several parents that of smallest id, so that every run gives the same
+    forest. ``closure`` keeps all of them."""
+    return all_links(relationships, organizations).groupBy("id").agg(F.min("parent").alias("parent"))
 
 
 def resolve(links: DataFrame) -> DataFrame:
@@ -70,11 +72,31 @@ def organisation_paths(relationships: DataFrame, organizations: DataFrame) -> Da
     )
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(ror_id, descendant_id, distance) for every node above another, from the chains of ``resolve``."""
-    return nodes.where("status = 'tree'").select(F.posexplode("chain").alias("pos", "ror_id"), F.col("id").alias("descendant_id"), F.size("chain").alias("n")).select(
-        "ror_id", "descendant_id", (F.col("n") - F.col("pos")).cast("int").alias("distance")
-    )
+def closure(links: DataFrame) -> DataFrame:
+    """(id, ancestor, distance): everything above a node over all its parents, by the shortest way.
+
+    Each round joins the ancestors found with theirs, which doubles the distance reached, and keeps one row a pair, so
+    neither several ways to an ancestor nor loops multiply rows. A node on a loop is its own ancestor.
+    """
+    state = cut(links.where("id is not null and parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    before = (-1, -1)
+    while True:
+        seen = state.agg(F.count("*"), F.coalesce(F.sum("distance"), F.lit(0))).first()
+        if tuple(seen) == before:
+            return state
+        before = tuple(seen)
+        above = state.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("distance").alias("more"))
+        further = state.join(above, "ancestor").select("id", F.col("top").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        state = cut(state.unionByName(further).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
+
+
+def descendants(links: DataFrame) -> DataFrame:
+    """(ror_id, descendant_id, distance) for every node above another, over all parents; nodes on and below loops are left out."""
+    pairs = closure(links)
+    loops = pairs.where("id = ancestor").select("id")
+    below = pairs.join(loops.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id")
+    kept = pairs.join(loops.unionByName(below).distinct(), "id", "left_anti")
+    return kept.select(F.col("ancestor").alias("ror_id"), F.col("id").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
 
 
 def raise_to_root(links: DataFrame, paths: DataFrame, organizations: DataFrame) -> DataFrame:
@@ -85,5 +107,7 @@ def raise_to_root(links: DataFrame, paths: DataFrame, organizations: DataFrame)
     """
     held = organizations.where("id is not null").select(F.col("id").alias("ror_id")).distinct()
     roots = held.join(paths.where("root_id >= 0").select("ror_id", "root_id"), "ror_id", "left")
-    found = links.select("ror_id", "work_author_id").where("work_author_id is not null").distinct().join(roots, "ror_id")
-    return found.select(F.coalesce("root_id", "ror_id").alias("ror_id"), "work_author_id").distinct()
+    keyed = links.select("ror_id", "work_author_id").where("ror_id is not null and work_author_id is not null").distinct().withColumn("_id", F.col("ror_id").cast("string"))
+    # few organisations hold most links
+    found = skew_safe_lookup(keyed, roots.select(F.col("ror_id").cast("string").alias("_id"), F.coalesce("root_id", "ror_id").alias("root")), "_id")
+    return found.where("root is not null").select(F.col("root").alias("ror_id"), "work_author_id").distinct()

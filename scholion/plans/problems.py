@@ -19,8 +19,7 @@ def p2_found(spark, d):
 
 
 def p2_descendants(spark, d):
-    links = hierarchy.parent_links(table(spark, d, "ror_relationships"), table(spark, d, "research_organizations"))
-    return hierarchy.descendants(hierarchy.resolve(links))
+    return hierarchy.descendants(hierarchy.all_links(table(spark, d, "ror_relationships"), table(spark, d, "research_organizations")))
 
 
 def p2_top_links(spark, d):
@@ -74,11 +73,11 @@ orphans AS (
 
 _LINKS = """
 WITH RECURSIVE held AS (SELECT DISTINCT id, ror_path FROM research_organizations),
-links AS (
-  SELECT id, min(parent) AS parent FROM (
-    SELECT CASE WHEN lower(trim(type)) = 'parent' THEN r.ror_id ELSE h.id END AS id, CASE WHEN lower(trim(type)) = 'parent' THEN h.id ELSE r.ror_id END AS parent
+every AS (
+    SELECT DISTINCT CASE WHEN lower(trim(type)) = 'parent' THEN r.ror_id ELSE h.id END AS id, CASE WHEN lower(trim(type)) = 'parent' THEN h.id ELSE r.ror_id END AS parent
     FROM ror_relationships r JOIN held h USING (ror_path)
-    WHERE lower(trim(type)) IN ('parent', 'child') AND r.ror_id IN (SELECT id FROM held)) GROUP BY id),
+    WHERE lower(trim(type)) IN ('parent', 'child') AND r.ror_id IN (SELECT id FROM held)),
+links AS (SELECT id, min(parent) AS parent FROM every GROUP BY id),
 walk AS (
   SELECT id, parent AS top, 1 AS depth, [parent] AS chain FROM links
   UNION ALL
@@ -150,7 +149,9 @@ ORACLE = {
     + "SELECT 'work_references' AS table_name, side, reason, strftime(seen, '%Y-%m') AS period, count(*) AS orphans FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
     "p2_found": _LINKS + "SELECT ror_id, root_id, depth, path FROM paths",
     "p2_descendants": _LINKS
-    + "SELECT unnest(chain) AS ror_id, id AS descendant_id, CAST(len(chain) - generate_subscripts(chain, 1) + 1 AS INTEGER) AS distance FROM nodes",
+    + """, up AS (SELECT id, parent AS top, 1 AS k FROM every UNION SELECT up.id, e.parent, k + 1 FROM up JOIN every e ON e.id = up.top WHERE k < 100),
+         bad AS (SELECT id FROM up WHERE top IN (SELECT id FROM up WHERE id = top) OR id = top)
+         SELECT top AS ror_id, id AS descendant_id, CAST(min(k) AS INTEGER) AS distance FROM up WHERE id NOT IN (SELECT id FROM bad) GROUP BY ALL""",
     "p2_top_links": _LINKS
     + """SELECT DISTINCT coalesce(nullif(p.root_id, -1), a.ror_id) AS ror_id, a.work_author_id FROM work_authors_top_rors a
          LEFT JOIN paths p ON p.ror_id = a.ror_id WHERE a.ror_id IN (SELECT id FROM held) AND a.work_author_id IS NOT NULL""",

@@ -83,12 +83,21 @@ def test_hierarchy(spark, rows):
     assert rows(paths) == sorted([(2, 1, 1, "1/2"), (3, 1, 2, "1/2/3"), (4, 1, 3, "1/2/3/4"), *((i, -1, -1, "cycle") for i in (6, 7, 8, 11)), (9, -1, -1, "below"), (10, -1, -1, "below")], key=repr)
     links = spark.createDataFrame([(4, 100), (4, 100), (1, 100), (9, 5), (50, 5), (12, None), (12, 6)], "ror_id bigint, work_author_id bigint")
     assert rows(hierarchy.raise_to_root(links, paths, orgs)) == [(1, 100), (12, 6), (9, 5)]
-    nodes = hierarchy.resolve(hierarchy.parent_links(relationships, orgs))
-    assert rows(hierarchy.descendants(nodes)) == [(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 3, 1), (2, 4, 2), (3, 4, 1)]
+    assert rows(hierarchy.descendants(hierarchy.all_links(relationships, orgs))) == [(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 3, 1), (2, 4, 2), (3, 4, 1)]
     none = relationships.limit(0)
     assert rows(hierarchy.organisation_paths(none, orgs)) == []
 
 
+def test_all_parents_count_in_descendants(spark, rows):
+    rel = [(4, "Parent", "p2"), (4, "Parent", "p3"), (2, "Parent", "p1"), (3, "Parent", "p2"), (5, "Parent", "p4"), (5, "Parent", "p9"), (9, "Parent", "p8"), (8, "Parent", "p9"), (6, "Parent", "p7")]
+    relationships = spark.createDataFrame(rel, "ror_id bigint, type string, ror_path string")
+    orgs = organisations(spark, range(1, 10))
+    want = [(1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 3, 1), (2, 4, 1), (3, 4, 1), (7, 6, 1)]  # 5 has a parent below a loop
+    assert rows(hierarchy.descendants(hierarchy.all_links(relationships, orgs))) == want
+    assert rows(hierarchy.descendants(hierarchy.all_links(relationships.limit(0), orgs))) == []
+    assert {r.ror_id: r.path for r in hierarchy.organisation_paths(relationships, orgs).collect()}[4] == "1/2/4"
+
+
 def test_hierarchy_deep_chain_and_loops_against_walk(spark):
     rng = np.random.default_rng(5)
     parent = {i: i - 1 for i in range(1, 70)} | {i: int(rng.integers(100, 160)) for i in range(100, 160)}
