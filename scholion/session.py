@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

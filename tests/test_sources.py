@@ -212,7 +212,55 @@ def test_command_line(spark, tmp_path, capsys):
     assert "CREATE TABLE works(" in capsys.readouterr().out
     with pytest.raises(UserError):
         cli.sampler("data.__class__")
+    for bad in ("(lambda: [c for c in ().__class__.__base__.__subclasses__()])()", "().__class__", "[x for x in data]", "random.seed(1)", "open(data)", "9 ** 9 ** 9", "data.format(1)", "f'{data}'", "1 +"):
+        with pytest.raises(UserError):
+            cli.sampler(bad)
+    assert cli.sampler("random.random() < 2 and '0.' in data and data[-3:] == '.gz' and not data.endswith('x')")("0.json.gz") is True
     assert cli.main(["-d", "sql,time,files", "query", "crossref", path, "-q", "SELECT doi FROM works", "-o", out]) == 0
     assert cli.main(["-d", "nothing", "list-sources"]) == 1
     said = capsys.readouterr().err
     assert "[sql] SELECT doi FROM works" in said and "[time] query" in said and "0.json.gz" in said
+
+
+def test_lists_longer_than_their_bits(spark, tmp_path, rows):
+    import gzip
+    import json
+
+    authors = [{"family": f"F{i}", "affiliation": [{"name": f"{i}.{j}"} for j in range(200 if i == 0 else 1)]} for i in range(3)]
+    (tmp_path / "c").mkdir()
+    with gzip.open(tmp_path / "c" / "0.json.gz", "wt") as f:
+        f.write(json.dumps({"DOI": "10.9/a", "author": authors}) + "\n")
+    s = sources.Crossref(spark, str(tmp_path / "c"))
+    joined = s.query("SELECT work_authors.family, count(*) AS n FROM work_authors JOIN author_affiliations ON author_affiliations.author_id = work_authors.id GROUP BY 1")
+    assert rows(joined) == [("F0", 200), ("F1", 1), ("F2", 1)]
+    from scholion.operators.nested import packed_id
+
+    ids = [packed_id(p, i, 4) for p in range(40) for i in range(40)]
+    assert len(set(ids)) == 1600
+    with pytest.raises(ValueError):
+        packed_id(-3, 99, 4)
+
+
+def test_partition_mode_reads_only_its_file(spark, tmp_path, rows):
+    path = fx.crossref(tmp_path / "c")
+    s = sources.Crossref(spark, path)
+    assert s.container_ids() == [0, 1] and rows(s.read_container(1).select("container_id", "item")) == [(1, 0)]
+    got = s.query("SELECT count(*) AS n FROM works", partition=True)
+    assert [sorted({f.rsplit("/", 1)[-1] for f in [r.member for r in s.read_container(c).select("member").collect()]}) for c in (0, 1)] == [["0.json.gz"], ["1.json.gz"]] and rows(got) == [(1,), (2,)]
+
+
+def test_records_as_a_data_source(spark, tmp_path, rows):
+    from scholion.sources import plugin
+
+    path = fx.crossref(tmp_path / "c")
+    with open(os.path.join(path, "x.lines"), "w") as f:
+        f.write("one\ntwo\n")
+
+    def lines(container, file):
+        for i, line in enumerate(open(file)):
+            yield container, i, "lines", line.strip()
+
+    plugin.add_format("lines", r"\.lines$", lines)
+    plugin.register(spark)
+    assert rows(spark.read.format("scholion_records").option("source", "crossref").option("path", path).load().select("container_id", "item")) == [(0, 0), (0, 1), (1, 0)]
+    assert rows(spark.read.format("scholion_records").option("source", "lines").option("path", path).load()) == [(0, 0, "lines", "one"), (0, 1, "lines", "two")]

@@ -18,6 +18,18 @@ def test_populate_on_arrival(spark, tmp_path, rows):
     assert read("works") == [("10.9000/a",), ("10.9000/c",)] and read("work_authors") == [("Brown",), ("Green",), ("Green",)]
 
 
+def test_ids_stay_apart_when_files_arrive_out_of_order(spark, tmp_path, rows):
+    folder, later = fx.crossref(str(tmp_path / "in")), str(tmp_path / "later.gz")
+    shutil.move(os.path.join(folder, "0.json.gz"), later)  # the file that sorts first comes last
+    args = (spark, Crossref, folder, str(tmp_path / "db"), str(tmp_path / "cp"), ["works.id", "works.doi", "work_authors.work_id", "work_authors.family"])
+    ingest.populate_on_arrival(*args).awaitTermination()
+    shutil.move(later, os.path.join(folder, "0.json.gz"))
+    ingest.populate_on_arrival(*args).awaitTermination()
+    works, authors = (spark.read.parquet(str(tmp_path / "db" / t)) for t in ("works", "work_authors"))
+    assert works.select("id").distinct().count() == 3
+    assert rows(works.join(authors, works.id == authors.work_id).select("doi", "family")) == [("10.9000/a", "Brown"), ("10.9000/a", "Green"), ("10.9000/c", "Green")]
+
+
 def _run(spark, frame, name, mode):
     q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
