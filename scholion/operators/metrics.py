@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.operators.ranking import global_row_number
 from scholion.session import cut
 
 
@@ -193,17 +196,87 @@ def soft_communities(edges: DataFrame, labels: DataFrame, nodes: DataFrame, leas
     return shared.unionByName(alone)
 
 
-def context_impact(members: DataFrame, journals: DataFrame) -> DataFrame:
+def context_impact(members: DataFrame | None, journals: DataFrame) -> DataFrame:
     """node, impact: citations per publication over the citation potential of the journal's communities.
 
     journals(node, citations, publications, density). Missing densities are filled with the median; a community's
-    potential is the weighted mean density of its members.
+    potential is the weighted mean density of its members. Without communities a journal's own density is its potential.
+    Missing citations count as none; where a divisor is missing or 0 the impact is 0.
     """
     filled = journals.withColumn("density", F.coalesce("density", journals.agg(F.median("density").alias("m")).scalar()))
-    potential = members.join(filled, "node").groupBy("community").agg((F.sum(F.col("weight") * F.col("density")) / F.sum("weight")).alias("potential"))
-    own = members.join(potential, "community").groupBy("node").agg(F.sum(F.col("weight") * F.col("potential")).alias("potential"))
-    rate = F.try_divide(F.col("citations").cast("double"), F.col("publications").cast("double"))
-    return filled.join(own, "node").select("node", F.round(F.try_divide(rate, F.col("potential")), 3).alias("impact"))
+    if members is None:
+        own = filled.select("node", F.col("density").alias("potential"))
+    else:
+        potential = members.join(filled, "node").groupBy("community").agg((F.sum(F.col("weight") * F.col("density")) / F.sum("weight")).alias("potential"))
+        own = members.join(potential, "community").groupBy("node").agg(F.sum(F.col("weight") * F.col("potential")).alias("potential"))
+    rate = F.try_divide(F.coalesce("citations", F.lit(0)).cast("double"), F.col("publications").cast("double"))
+    return filled.join(own, "node", "left").select("node", F.coalesce(F.round(F.try_divide(rate, F.col("potential")), 3), F.lit(0.0)).alias("impact"))
+
+
+# Acklam's rational approximations of the normal quantile, in the middle and in the tails.
+_MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+_TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+# Royston's polynomials for the two outermost weights of the Shapiro-Wilk test, and for its significance.
+_OUTER = ((0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.042981, -0.293762, -1.752461, 5.682633, -3.582633))
+_FEW = ((0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322))
+_MANY = ((-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302))
+
+
+def _polynomial(coefficients, x):
+    """Value of a polynomial, lowest power first."""
+    total = coefficients[-1]
+    for c in coefficients[-2::-1]:
+        total = total * x + c
+    return total
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of a probability above 0 and below 1, to nine digits."""
+    low = F.least(p, 1 - p)
+    q = p - 0.5
+    middle = q * _polynomial(_MIDDLE[0][::-1], q * q) / _polynomial(_MIDDLE[1][::-1], q * q)
+    t = F.sqrt(-2 * F.log(low))
+    tail = _polynomial(_TAIL[0][::-1], t) / _polynomial(_TAIL[1][::-1], t)
+    return F.when(low >= 0.02425, middle).otherwise(F.when(p < 0.5, tail).otherwise(-tail))
+
+
+def shapiro(samples: DataFrame, value: str) -> DataFrame:
+    """n, w, p: the Shapiro-Wilk test of normality (Royston 1992) over all values that are not null, in one row.
+
+    Values are ranked by ranges and weighted where they lie, so samples of any size take one pass; p is meant for up to
+    some thousand values. Fewer than four values, or equal ones, give a null w and p.
+    """
+    from statistics import NormalDist
+
+    ranked = global_row_number(samples.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.monotonically_increasing_id().alias("i")), ["x", "i"])
+    spark, n = samples.sparkSession, ranked.count()
+    schema = "n bigint, w double, p double"
+    normal = NormalDist()
+    if n < 4:
+        return spark.createDataFrame([(n, None, None)], schema)
+    outer = 1 if n < 6 else 2
+    rn = F.col("rn")
+    m = normal_quantile((rn - 0.375) / (n + 0.25))
+    inside = rn.between(outer + 1, n - outer)
+    ends = [F.max(F.when(rn == k, F.col("x"))).alias(f"e{k}") for e in range(outer) for k in {e + 1, n - e}]
+    got = ranked.agg(F.sum(m * m).alias("mm"), F.sum(F.when(inside, m * F.col("x"))).alias("inner"), (F.var_pop("x") * n).alias("ss"), *ends).first()
+    if not got.ss:
+        return spark.createDataFrame([(n, None, None)], schema)
+    u = n**-0.5
+    top = [normal.inv_cdf((n - e - 0.375) / (n + 0.25)) for e in range(outer)]
+    weights = [_polynomial((top[e] / math.sqrt(got.mm), *_OUTER[e]), u) for e in range(outer)]
+    spread = (got.mm - 2 * sum(t * t for t in top)) / (1 - 2 * sum(a * a for a in weights))
+    total = (got.inner or 0.0) / math.sqrt(spread) + sum(a * (got[f"e{n - e}"] - got[f"e{e + 1}"]) for e, a in enumerate(weights))
+    w = min(1.0, total**2 / got.ss)
+    y = math.log(max(1e-300, 1 - w))
+    if n < 12:
+        gap = -2.273 + 0.459 * n - y
+        y, means = (-math.log(gap), _FEW) if gap > 0 else (math.inf, _FEW)
+        x = n
+    else:
+        x, means = math.log(n), _MANY
+    z = (y - _polynomial(means[0], x)) / math.exp(_polynomial(means[1], x))
+    return spark.createDataFrame([(n, w, 1 - normal.cdf(z))], schema)
 
 
 def effect_size(samples: DataFrame, group: str, value: str) -> DataFrame:

@@ -593,6 +593,23 @@ def context_normalised_impact(t):
     return metrics.context_impact(members, journals)
 
 
+@study("""WITH j AS (SELECT l_suppkey AS node, count(*) AS c, count(DISTINCT l_orderkey) AS p, CASE WHEN l_suppkey % 5 > 0 THEN avg(l_quantity) END AS density FROM lineitem GROUP BY 1)
+SELECT node, round(c / p / coalesce(density, (SELECT median(density) FROM j)), 3) AS impact FROM j""")
+def context_impact_alone(t):
+    """Without communities a journal's own density is its potential; missing ones are filled with the median."""
+    density = F.when(F.col("l_suppkey") % 5 > 0, F.avg("l_quantity"))
+    journals = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("citations"), F.countDistinct("l_orderkey").alias("publications"), density.alias("density"))
+    return metrics.context_impact(None, journals.withColumnRenamed("l_suppkey", "node"))
+
+
+@study()
+def citations_normality(t):
+    """Shapiro-Wilk test over the citation counts of all works; tested against published values."""
+    n = metrics.citation_counts(_citations(t))
+    counted = _works(t).select(F.lower(F.trim("doi")).alias("doi")).join(n, "doi", "left")
+    return metrics.shapiro(counted.select(F.coalesce("citations_number", F.lit(0)).alias("v")), "v")
+
+
 _G = "g AS (SELECT DISTINCT least(citing, cited) AS a, greatest(citing, cited) AS b FROM e)"
 
 

@@ -309,6 +309,25 @@ def test_effect_size(spark):
     assert abs(r.cliffs_delta - 8 / 9) < 1e-9 and abs(r.cohens_d - 2 / np.sqrt(2 / 3)) < 1e-9 and (r.median_0, r.median_1) == (2.0, 4.0)
 
 
+def test_shapiro(spark):
+    from statistics import NormalDist
+
+    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    r = metrics.shapiro(spark.createDataFrame([(x,) for x in [*weights, None]], "v int"), "v").first()
+    assert r.n == 11 and abs(r.w - 0.78881) < 2e-4 and abs(r.p - 0.0067) < 2e-4  # published
+    even = [NormalDist().inv_cdf((i + 0.5) / 400) for i in range(400)]
+    r = metrics.shapiro(spark.createDataFrame([(x,) for x in even], "v double"), "v").first()
+    assert r.w > 0.999 and r.p > 0.9
+    r = metrics.shapiro(spark.createDataFrame([(float(x * x * x),) for x in range(400)], "v double"), "v").first()
+    assert r.w < 0.85 and r.p < 1e-6
+    for few in ([], [1.0, 2.0, 3.0], [5.0] * 9):
+        r = metrics.shapiro(spark.createDataFrame([(x,) for x in few], "v double"), "v").first()
+        assert (r.n, r.w, r.p) == (len(few), None, None)
+    ps = [1e-6, 0.001, 0.02, 0.3, 0.5, 0.77, 0.99, 0.99999]
+    got = spark.createDataFrame([(x,) for x in ps], "p double").select(metrics.normal_quantile(F.col("p")).alias("q")).collect()
+    assert all(abs(r.q - NormalDist().inv_cdf(x)) < 1e-7 for r, x in zip(got, ps))
+
+
 def test_streaks_and_clustering(spark, rows):
     df = spark.createDataFrame([("a", y) for y in (1, 2, 3, 7, 8)] + [("a", 2), ("b", 5)], "g string, y int")
     assert rows(metrics.streaks(df, "g", "y", 2)) == [("a", 1, 3), ("a", 7, 2)]
