@@ -49,7 +49,8 @@ def probe_grams(kind: Column, word: Column) -> Column:
 
 
 #: Moves of the grams 1, 2 and 3, by the length a word has beyond another, of which two errors leave one right.
-_TWO = {0: ((0, 0), (1, -1), (1, 0), (1, 1), (2, 0)), 1: ((0, 0), (1, 0), (1, 1), (2, 1)), 2: ((0, 0), (1, 1), (2, 2))}
+#: Of words of equal length each probes the other, so a move to the left of the one is found as one to the right of the other.
+_TWO = {0: ((0, 0), (1, 0), (1, 1), (2, 0)), 1: ((0, 0), (1, 0), (1, 1), (2, 1)), 2: ((0, 0), (1, 1), (2, 2))}
 
 
 def index_two(beside: Column, word: Column) -> Column:
@@ -59,7 +60,8 @@ def index_two(beside: Column, word: Column) -> Column:
 
 
 def probe_two(beside: Column, word: Column, least: int) -> Column:
-    """The grams by which a word meets the ``index_two`` of every word within an edit distance of two that isn't longer and has ``least`` letters or more."""
+    """The grams by which a word meets the ``index_two`` of every word within an edit distance of two that isn't longer and has ``least``
+    letters or more; of two words of equal length one meets the other."""
     n = F.length(word)
     out = []
     for less, moves in _TWO.items():
@@ -93,9 +95,10 @@ def exchanged(a: Column, b: Column) -> Column:
     return (n == F.length(b)) & (F.size(same) == 2) & (j == i + 1) & crossed
 
 
-def one_error(a: Column, b: Column, least: int) -> Column:
-    """Equal but for one letter changed, left out or put in, or two neighbours exchanged; both of ``least`` letters or more."""
-    d = F.levenshtein(a, b, 2)
+def one_error(a: Column, b: Column, least: int, distance: Column | None = None) -> Column:
+    """Equal but for one letter changed, left out or put in, or two neighbours exchanged; both of ``least`` letters or more.
+    ``distance`` is their edit distance up to 2 (-1 beyond), where it is known."""
+    d = F.levenshtein(a, b, 2) if distance is None else distance
     return (F.least(F.length(a), F.length(b)) >= least) & (d.between(0, 1) | ((d == 2) & exchanged(a, b)))
 
 

@@ -29,6 +29,8 @@ from scholion.session import cut
 SHORT_WORD, SHORT_GIVEN = 5, 3
 #: Families of at least this length may differ by two errors, if the first given words agree.
 LONG_WORD = 9
+#: Beginnings of up to so many letters are listed; longer ones are found by their first letters and compared.
+HEAD = 40
 
 # Words before a family name, and words after a name that are no part of it.
 PARTICLES = {"von", "van", "der", "den", "de", "da", "di", "del", "della", "dos", "do", "du", "des", "la", "le", "el", "al", "bin", "ibn", "ben", "abu", "ter", "ten", "zu", "zur", "af", "av", "st", "san", "vande"}
@@ -101,9 +103,11 @@ def near_words(words: DataFrame) -> DataFrame:
     k, w = F.col("kind"), F.col("word")
     able = words.where(F.length(w) >= F.when(k == "f", SHORT_WORD).otherwise(SHORT_GIVEN))
     index = able.select("kind", "word", "df", F.explode(index_grams(k, w)).alias("gram"))
-    probe = able.select(F.col("kind").alias("kind_b"), F.col("word").alias("word_b"), F.col("df").alias("df_b"), F.explode(probe_grams(k, w)).alias("gram"))
-    met = index.join(probe, "gram").where("kind = kind_b and word <> word_b").where(one_error(F.col("word"), F.col("word_b"), SHORT_GIVEN))
-    return _ordered(met.select("kind", "word", "df", "word_b", "df_b"))
+    probe = able.select(F.col("word").alias("word_b"), F.col("df").alias("df_b"), F.explode(probe_grams(k, w)).alias("gram"))  # a gram tells its kind
+    a, b = F.col("word"), F.col("word_b")
+    met = index.join(probe, "gram").where(a != b).select("kind", "word", "df", "word_b", "df_b").distinct()
+    measured = met.select("*", F.inline(F.array(F.struct(F.levenshtein(a, b, 2).alias("d")))))  # computed once
+    return _ordered(measured.where(one_error(a, b, SHORT_GIVEN, F.col("d"))))
 
 
 def near_families(beside: DataFrame, words: DataFrame) -> DataFrame:
@@ -112,7 +116,7 @@ def near_families(beside: DataFrame, words: DataFrame) -> DataFrame:
     index = dated.select("family", "letters", F.explode(index_two(F.col("given"), F.col("family"))).alias("gram"))
     probe = dated.select(F.col("family").alias("family_b"), F.col("letters").alias("letters_b"), F.explode(probe_two(F.col("given"), F.col("family"), LONG_WORD)).alias("gram"))
     met = index.join(probe, "gram").where((F.col("family") != F.col("family_b")) & letters_allow(F.col("letters"), F.col("letters_b"), 2))
-    near = met.where(F.levenshtein("family", "family_b", 2) == 2).select("family", "family_b").distinct()
+    near = met.where(F.levenshtein("family", "family_b", 2) == 2).select(F.least("family", "family_b").alias("family"), F.greatest("family", "family_b").alias("family_b")).distinct()
     df = words.where("kind = 'f'").select("word", "df")
     return _ordered(near.join(df.withColumnRenamed("word", "family"), "family").join(df.select(F.col("word").alias("family_b"), F.col("df").alias("df_b")), "family_b").select(F.lit("f").alias("kind"), F.col("family").alias("word"), "df", F.col("family_b").alias("word_b"), "df_b"))
 
@@ -146,8 +150,11 @@ def word_table(nodes: DataFrame, forms: DataFrame) -> DataFrame:
     other = given.select(F.col("word").alias("word_b"), F.col("df").alias("df_b"))
     g = F.lit("g").alias("kind")
     # what a word begins with, and what it is a short form of
-    begins = given.where(F.length("word") > 4).select(F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 2), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("word_b"), "word", "df")
-    begun = begins.join(other, "word_b").select(g, "word", "df", "word_b", "df_b")
+    lengths = F.sequence(F.lit(3), F.least(F.lit(HEAD), F.length("word") - 2))
+    begins = given.where(F.length("word") > 4).select(F.explode(F.transform(lengths, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("word_b"), "word", "df")
+    long = given.where(F.length("word") > HEAD + 2).withColumn("head", F.substring("word", 1, HEAD)).join(other.where(F.length("word_b") > HEAD).withColumn("head", F.substring("word_b", 1, HEAD)), "head")
+    long = long.where(F.startswith("word", "word_b") & (F.length("word") - F.length("word_b") >= 2))
+    begun = begins.join(other, "word_b").select(g, "word", "df", "word_b", "df_b").unionByName(long.select(g, "word", "df", "word_b", "df_b"))
     short = given.join(forms, F.col("word") == F.col("short")).join(other, F.col("full") == F.col("word_b")).select(g, "word", "df", "word_b", "df_b")
     # two short forms of one full form, of which the full form itself may not occur
     two = forms.join(forms.select(F.col("short").alias("word_b"), "full"), "full").where("short < word_b")
@@ -214,8 +221,9 @@ def _initials(given: Column) -> Column:
     return F.array_join(F.transform(given, lambda w: F.regexp_replace(w, r"-?([^-])[^-]*", "$1")), "")
 
 
-def name_similarity() -> tuple[Column, Column]:
-    """(family, given) similarity of the names _a and _b; null for given names that differ.
+def name_similarity() -> tuple[Column, Column, Column]:
+    """(family, given, accepted): similarity of the names _a and _b, null for words that differ, and whether names of these
+    similarities, in columns family and given, may be one person's.
 
     Columns fam, giv, forms with _a and _b. A family is equal (1), sounds equal (0.97), or has one (0.9) or two errors
     (0.8). Given words are aligned in order; later words may be left out, words be initials (0.6), short forms or
@@ -256,8 +264,8 @@ def name_similarity() -> tuple[Column, Column]:
         .when(one_error(whole_a, whole_b, SHORT_GIVEN) | apart(ga, whole_a, first_b) | apart(gb, whole_b, first_a), 0.9)
     )
     # two errors in the family need given names that agree word by word
-    agree = (given >= 0.9) & ((F.size(ga) == F.size(gb)) | (whole_a == whole_b))
-    return F.when((family >= 0.9) | agree, family), given
+    agree = (F.col("given") >= 0.9) & ((F.size(ga) == F.size(gb)) | (whole_a == whole_b))
+    return family, given, F.col("family").isNotNull() & F.col("given").isNotNull() & ((F.col("family") >= 0.9) | agree)
 
 
 def name_links(nodes: DataFrame, forms: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -288,9 +296,10 @@ def name_links(nodes: DataFrame, forms: DataFrame, threshold: float = 0.7) -> Da
 
     left, right = side(left_keys, "a"), side(right_keys, "b")
     met = left.join(right, "key").where("fuller_a = fuller_b and (fuller_a and node_a <> node_b or node_a < node_b)")
-    family, given = name_similarity()
+    family, given, accepted = name_similarity()
     wf, wg = F.least("wf_a", "wf_b"), F.least("wg_a", "wg_b")
-    verified = met.withColumns({"family": family, "given": given}).where("family is not null and given is not null")
+    # families are compared first; behind inline, similarities are computed once for all that uses them
+    verified = met.where(family.isNotNull()).select("*", F.inline(F.array(F.struct(family.alias("family"), given.alias("given"))))).where(accepted)
     verified = verified.withColumns({f"usual_{x}": -F.col(f"wf_{x}") - F.col(f"wg_{x}") for x in "ab"})
     scored = verified.withColumn("score", ((wf * F.col("family") + wg * F.col("given")) / (wf + wg) * 1000).cast("int")).where(F.col("score") >= int(threshold * 1000))
     ways = F.array(*(F.struct(*(F.col(f"{c}_{x}").alias(n + y) for x, y in zip(order, "ab") for c, n in (("node", ""), ("support", "s"), ("usual", "u"))), *(information(F.col(f"giv_{x}")).alias("i" + y) for x, y in zip(order, "ab"))) for order in ("ab", "ba")))
@@ -341,7 +350,7 @@ def author_persons(authors: DataFrame, nicknames: DataFrame) -> DataFrame:
 
 def variant_pairs(members: DataFrame) -> DataFrame:
     """author_id_a, author_id_b (a < b): rows of one person whose spellings differ; rows of equal spelling are no pair."""
-    members = cut(members.distinct())
+    members = cut(members)
     spelled = members.select("sid", "person").distinct()
     meets = spelled.join(spelled.withColumnRenamed("sid", "sid_b"), "person").where("sid < sid_b").select("sid", "sid_b")
     left = members.select("sid", F.col("id").alias("x")).join(meets, "sid")
