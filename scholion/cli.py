@@ -55,7 +55,7 @@ def sampler(expression: str | None):
 def _source(args):
     if args.source not in SOURCES:
         raise UserError(f"Unknown data source name: '{args.source}'.")
-    spark = local_session(args.cores)
+    spark = local_session(args.cores, progress=args.progress)
     return SOURCES[args.source](spark, args.location, sampler(getattr(args, "sample", None)), getattr(args, "attach", None))
 
 
@@ -84,7 +84,7 @@ def populate(args) -> None:
 def process(args) -> None:
     if args.process not in PROCESSES:
         raise UserError(f"Unknown process name: '{args.process}'.")
-    PROCESSES[args.process](local_session(args.cores), args.database)
+    PROCESSES[args.process](local_session(args.cores, progress=args.progress), args.database)
 
 
 def download(args) -> None:
@@ -97,6 +97,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="scholion", description=__doc__)
     top.add_argument("--cores", default="*", help="local cores to use")
     top.add_argument("-d", "--debug", default="", metavar="TOPIC,TOPIC", help="; ".join(f"{k}: {v}" for k, v in debug.TOPICS.items()))
+    top.add_argument("-p", "--progress", action="store_true", help="show the progress of stages")
     sub = top.add_subparsers(dest="command", required=True)
 
     def source(name: str, help_: str, f):
@@ -138,7 +139,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-d", "--database", required=True)
 
     p = sub.add_parser("import", help="make a table of a delimited file")
-    p.set_defaults(run=lambda a: import_table(local_session(a.cores), a.file, a.database, a.table, a.schema, a.field_separator))
+    p.set_defaults(run=lambda a: import_table(local_session(a.cores, progress=a.progress), a.file, a.database, a.table, a.schema, a.field_separator))
     p.add_argument("file")
     p.add_argument("table")
     p.add_argument("-d", "--database", required=True)

@@ -90,7 +90,8 @@ def disruption(works: DataFrame, edges: DataFrame, days: int = 5 * 365, hot: int
 
     Later works reached by a reference of at most ``hot`` cites are joined one by one. All works that cite the same
     hot references on the same day stand alike to a focal work, so they are counted by (hot references, day) and
-    never paired: a reference that a tenth of all works cite costs no quadratic join. The result is the same.
+    never paired: a reference that a tenth of all works cite costs no quadratic join. A work with one hot reference takes the
+    difference of two running sums over its days. The result is the same.
     """
     day = works.select(F.col("id").alias("citing"), F.col("day").alias("citing_day"))
     popular = edges.groupBy("cited").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("cited")
@@ -111,8 +112,17 @@ def disruption(works: DataFrame, edges: DataFrame, days: int = 5 * 365, hot: int
 
     dated = hot_sets.join(day, "citing").groupBy("hot", "citing_day").agg(F.count("*").alias("k"))
     kinds = focal.where("own_hot is not null").select("own_hot", "day").distinct()
-    met = kinds.select("own_hot", "day", F.explode("own_hot").alias("reference")).join(dated.select("hot", "citing_day", "k", F.explode("hot").alias("reference")), "reference").where(within)
-    through_hot = met.select("own_hot", "day", "hot", "citing_day", "k").distinct().groupBy("own_hot", "day").agg(F.sum("k").alias("n_hot"))
+    several = kinds.where(F.size("own_hot") > 1)
+    met = several.select("own_hot", "day", F.explode("own_hot").alias("reference")).join(dated.select("hot", "citing_day", "k", F.explode("hot").alias("reference")), "reference").where(within)
+    through_several = met.select("own_hot", "day", "hot", "citing_day", "k").distinct().groupBy("own_hot", "day").agg(F.sum("k").alias("n_hot"))
+    # of one hot reference the citing works are counted by day, and a span of days is the difference of two running sums
+    single = kinds.where(F.size("own_hot") == 1).select("own_hot", "day", F.element_at("own_hot", 1).alias("reference"))
+    points = single.select("reference", F.explode(F.array("day", F.col("day") + days)).alias("at"), F.lit(0).cast("bigint").alias("k"))
+    daily = dated.select(F.explode("hot").alias("reference"), F.col("citing_day").alias("at"), "k").unionByName(points).groupBy("reference", "at").agg(F.sum("k").alias("k"))
+    running = daily.select("reference", "at", F.sum("k").over(Window.partitionBy("reference").orderBy("at")).alias("total"))
+    until_day, until_end = (running.select("reference", F.col("at").alias(at), F.col("total").alias(total)) for at, total in (("day", "before"), ("end", "by_end")))
+    through_single = single.withColumn("end", F.col("day") + days).join(until_day, ["reference", "day"]).join(until_end, ["reference", "end"]).select("own_hot", "day", (F.col("by_end") - F.col("before")).alias("n_hot")).where("n_hot > 0")
+    through_hot = through_several.unionByName(through_single)
     hot_counts = focal.join(through_hot, ["own_hot", "day"]).select("id", "n_hot")
     both = paired.join(hot_counts, "id", "full").select("id", F.coalesce("total", F.lit(0)).alias("total"), (F.coalesce("n_cold", F.lit(0)) + F.coalesce("n_hot", F.lit(0))).alias("n"))
     return both.select("id", (F.col("total") / F.col("n")).alias("cd"), "n")

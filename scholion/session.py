@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g", progress: bool = False) -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings the session."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,7 +18,7 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.showConsoleProgress", str(progress).lower())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
