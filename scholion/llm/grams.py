@@ -86,6 +86,24 @@ def letters_allow(a: Column, b: Column, errors: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= 2 * errors
 
 
+def letter_bags(beside: Column, word: Column) -> Column:
+    """Keys of the letters a word is made of, all and without any one of them, each with the word ``beside`` it; words that have an
+    exchange of neighbours and at most one other error between them share one."""
+    letters = F.split(word, "")
+    value = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 40))
+    total = F.aggregate(letters, F.lit(0).cast("bigint"), lambda t, c: t + value(c))
+    return F.transform(F.array_append(F.transform(F.array_distinct(letters), lambda c: total - value(c)), total), lambda x: F.xxhash64(beside, x))
+
+
+def exchanged_and_one_error(a: Column, b: Column) -> Column:
+    """More than two edits apart, but equal up to one error once two neighbours of ``a`` are exchanged."""
+    n = F.length(a)
+    back = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n))
+    d = F.levenshtein(a, b, 4)
+    close = (F.abs(n - F.length(b)) <= 1) & letters_allow(letter_counts(a), letter_counts(b), 1) & d.between(3, 4)
+    return close & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: one_error(back(i), b, 2))
+
+
 def exchanged(a: Column, b: Column) -> Column:
     """Whether two neighbouring letters are exchanged, and all else is equal."""
     n = F.length(a)

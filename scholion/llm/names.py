@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.folding import plain
-from scholion.llm.grams import index_grams, index_two, letter_counts, letters_allow, one_error, probe_grams, probe_two, two_errors
+from scholion.llm.grams import exchanged_and_one_error, index_grams, index_two, letter_bags, letter_counts, letters_allow, one_error, probe_grams, probe_two, two_errors
 from scholion.llm.linkage import _map
 from scholion.session import cut
 
@@ -111,12 +111,17 @@ def near_words(words: DataFrame) -> DataFrame:
 
 
 def near_families(beside: DataFrame, words: DataFrame) -> DataFrame:
-    """(kind, small, big): long families two errors apart that stand beside a common given word: pairs (family, given)."""
+    """(kind, small, big): long families two errors apart, of which an exchange of neighbours is one, that stand beside a common
+    given word: pairs (family, given)."""
     dated = beside.where(F.length("family") >= LONG_WORD).withColumn("letters", letter_counts(F.col("family")))
     index = dated.select("family", "letters", F.explode(index_two(F.col("given"), F.col("family"))).alias("gram"))
     probe = dated.select(F.col("family").alias("family_b"), F.col("letters").alias("letters_b"), F.explode(probe_two(F.col("given"), F.col("family"), LONG_WORD)).alias("gram"))
     met = index.join(probe, "gram").where((F.col("family") != F.col("family_b")) & letters_allow(F.col("letters"), F.col("letters_b"), 2))
-    near = met.where(F.levenshtein("family", "family_b", 2) == 2).select(F.least("family", "family_b").alias("family"), F.greatest("family", "family_b").alias("family_b")).distinct()
+    edited = met.where(F.levenshtein("family", "family_b", 2) == 2).select(F.least("family", "family_b").alias("family"), F.greatest("family", "family_b").alias("family_b"))
+    # one of the errors exchanges letters, which the letters a word is made of don't show
+    bags = beside.where(F.length("family") >= LONG_WORD).select("family", F.explode(letter_bags(F.col("given"), F.col("family"))).alias("gram"))
+    mixed = bags.join(bags.withColumnRenamed("family", "family_b"), "gram").where((F.col("family") < F.col("family_b")) & exchanged_and_one_error(F.col("family"), F.col("family_b")))
+    near = edited.unionByName(mixed.select("family", "family_b")).distinct()
     df = words.where("kind = 'f'").select("word", "df")
     return _ordered(near.join(df.withColumnRenamed("word", "family"), "family").join(df.select(F.col("word").alias("family_b"), F.col("df").alias("df_b")), "family_b").select(F.lit("f").alias("kind"), F.col("family").alias("word"), "df", F.col("family_b").alias("word_b"), "df_b"))
 
@@ -192,7 +197,8 @@ def name_nodes(authors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             yield sid, k, f, g, n
 
     read = cut(_map(spelled, ways, "sid bigint, way int, fam string, giv array<string>, n bigint"))
-    used = F.array_append(F.transform("giv", lambda w: F.struct(w.alias("w"), F.lit(0).alias("is_family"))), F.struct(F.col("fam").alias("w"), F.lit(1).alias("is_family")))
+    # particles stand with either name and tell nothing
+    used = F.array_append(F.transform(F.filter("giv", lambda w: ~w.isin(sorted(PARTICLES))), lambda w: F.struct(w.alias("w"), F.lit(0).alias("is_family"))), F.struct(F.col("fam").alias("w"), F.lit(1).alias("is_family")))
     use = read.where("way = 0").select(F.inline(used)).groupBy("w").agg(F.sum("is_family").alias("nf"), F.sum(1 - F.col("is_family")).alias("ng"))
     several = read.where("way = 1").select("sid").distinct()
     parts = read.join(several, "sid", "left_semi").select("*", F.inline(used)).join(use, "w", "left").fillna(0, ["nf", "ng"])
@@ -231,7 +237,8 @@ def name_similarity() -> tuple[Column, Column, Column]:
     """
     fa, fb = F.col("fam_a"), F.col("fam_b")
     sa, sb = sound(fa), sound(fb)
-    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD), 0.9).when(two_errors(sa, sb, LONG_WORD), 0.8)
+    long = F.least(F.length(sa), F.length(sb)) >= LONG_WORD
+    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD), 0.9).when(two_errors(sa, sb, LONG_WORD) | (long & exchanged_and_one_error(sa, sb)), 0.8)
     ga, gb = F.col("giv_a"), F.col("giv_b")
     whole_a, whole_b = _bare(F.array_join(ga, "")), _bare(F.array_join(gb, ""))
     ia, ib = _initials(ga), _initials(gb)
