@@ -140,8 +140,8 @@ def frequent_words(documents: DataFrame, folder: str = DEFAULT_FOLDER, name: str
     spark = documents.sparkSession
     words = documents.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + PATTERN), F.lit(0))).alias("word"))
     repeated = words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.length("word").between(1, letters))
-    top = repeated.orderBy(F.desc("n"), "word").limit(most).select("word").repartition("word")
-    return spark.sparkContext.broadcast({r.word: bytes(r.ids) for r in top.mapInArrow(run, "word string, ids binary").toLocalIterator()})
+    top = repeated.orderBy(F.desc("n"), "word").limit(most).select("word").repartition(spark.sparkContext.defaultParallelism, "word")
+    return spark.sparkContext.broadcast({r.word: bytes(r.ids) for r in top.mapInArrow(run, "word string, ids binary").collect()})
 
 
 def encode(documents: DataFrame, folder: str = DEFAULT_FOLDER, name: str = "byte_bpe_50k") -> DataFrame:
