@@ -95,29 +95,30 @@ def letter_bags(beside: Column, word: Column) -> Column:
     return F.transform(F.array_append(F.transform(F.array_distinct(letters), lambda c: total - value(c)), total), lambda x: F.xxhash64(beside, x))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed, and stands in the plan, once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def exchanged_and_one_error(a: Column, b: Column) -> Column:
     """More than two edits apart, but equal up to one error once two neighbours of ``a`` are exchanged."""
     n = F.length(a)
-    back = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n))
-    d = F.levenshtein(a, b, 4)
-    close = (F.abs(n - F.length(b)) <= 1) & letters_allow(letter_counts(a), letter_counts(b), 1) & d.between(3, 4)
-    return close & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: one_error(back(i), b, 2))
+    back = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.reverse(F.substring(a, i, F.lit(2))), F.substring(a, i + 2, n))
+    close = (F.abs(n - F.length(b)) <= 1) & F.levenshtein(a, b, 4).between(3, 4) & letters_allow(letter_counts(a), letter_counts(b), 1)
+    return close & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: let(back(i), lambda x: one_error(x, b, 2)))
 
 
 def exchanged(a: Column, b: Column) -> Column:
     """Whether two neighbouring letters are exchanged, and all else is equal."""
     n = F.length(a)
-    same = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    i, j = F.get(same, 0), F.get(same, 1)
-    crossed = (F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))) & (F.substring(a, j, F.lit(1)) == F.substring(b, i, F.lit(1)))
-    return (n == F.length(b)) & (F.size(same) == 2) & (j == i + 1) & crossed
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    two = F.lit(2)
+    return (n == F.length(b)) & let(differ, lambda at: (F.size(at) == 2) & (F.get(at, 1) == F.get(at, 0) + 1) & (F.substring(a, F.get(at, 0), two) == F.reverse(F.substring(b, F.get(at, 0), two))))
 
 
-def one_error(a: Column, b: Column, least: int, distance: Column | None = None) -> Column:
-    """Equal but for one letter changed, left out or put in, or two neighbours exchanged; both of ``least`` letters or more.
-    ``distance`` is their edit distance up to 2 (-1 beyond), where it is known."""
-    d = F.levenshtein(a, b, 2) if distance is None else distance
-    return (F.least(F.length(a), F.length(b)) >= least) & (d.between(0, 1) | ((d == 2) & exchanged(a, b)))
+def one_error(a: Column, b: Column, least: int) -> Column:
+    """Equal but for one letter changed, left out or put in, or two neighbours exchanged; both of ``least`` letters or more."""
+    return (F.least(F.length(a), F.length(b)) >= least) & let(F.levenshtein(a, b, 2), lambda d: d.between(0, 1) | ((d == 2) & exchanged(a, b)))
 
 
 def two_errors(a: Column, b: Column, least: int) -> Column:

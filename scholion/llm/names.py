@@ -106,8 +106,7 @@ def near_words(words: DataFrame) -> DataFrame:
     probe = able.select(F.col("word").alias("word_b"), F.col("df").alias("df_b"), F.explode(probe_grams(k, w)).alias("gram"))  # a gram tells its kind
     a, b = F.col("word"), F.col("word_b")
     met = index.join(probe, "gram").where(a != b).select("kind", "word", "df", "word_b", "df_b").distinct()
-    measured = met.select("*", F.inline(F.array(F.struct(F.levenshtein(a, b, 2).alias("d")))))  # computed once
-    return _ordered(measured.where(one_error(a, b, SHORT_GIVEN, F.col("d"))))
+    return _ordered(met.where(one_error(a, b, SHORT_GIVEN)))
 
 
 def near_families(beside: DataFrame, words: DataFrame) -> DataFrame:
@@ -227,30 +226,34 @@ def _initials(given: Column) -> Column:
     return F.array_join(F.transform(given, lambda w: F.regexp_replace(w, r"-?([^-])[^-]*", "$1")), "")
 
 
-def name_similarity() -> tuple[Column, Column, Column]:
-    """(family, given, accepted): similarity of the names _a and _b, null for words that differ, and whether names of these
-    similarities, in columns family and given, may be one person's.
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once, however often they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def similar_names(pairs: DataFrame) -> DataFrame:
+    """The pairs of names _a and _b that may be one person's, with their similarity by family and by given names.
 
     Columns fam, giv, forms with _a and _b. A family is equal (1), sounds equal (0.97), or has one (0.9) or two errors
     (0.8). Given words are aligned in order; later words may be left out, words be initials (0.6), short forms or
     beginnings (0.95), have an error (0.9), or names be written apart (0.9).
     """
-    fa, fb = F.col("fam_a"), F.col("fam_b")
-    sa, sb = sound(fa), sound(fb)
+    read = _once(pairs, sa=sound(F.col("fam_a")), sb=sound(F.col("fam_b")))
+    sa, sb = F.col("sa"), F.col("sb")
     long = F.least(F.length(sa), F.length(sb)) >= LONG_WORD
-    family = F.when(fa == fb, 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD), 0.9).when(two_errors(sa, sb, LONG_WORD) | (long & exchanged_and_one_error(sa, sb)), 0.8)
+    family = F.when(F.col("fam_a") == F.col("fam_b"), 1.0).when(sa == sb, 0.97).when(one_error(sa, sb, SHORT_WORD), 0.9).when(two_errors(sa, sb, LONG_WORD) | (long & exchanged_and_one_error(sa, sb)), 0.8)
+    near = _once(read, family=family).where("family is not null")
+
     ga, gb = F.col("giv_a"), F.col("giv_b")
-    whole_a, whole_b = _bare(F.array_join(ga, "")), _bare(F.array_join(gb, ""))
-    ia, ib = _initials(ga), _initials(gb)
+    whole = lambda g: _bare(F.array_join(g, ""))
+    told = _once(near, wa=whole(ga), wb=whole(gb), ia=_initials(ga), ib=_initials(gb), ha=_bare(F.element_at(ga, 1)), hb=_bare(F.element_at(gb, 1)), words=F.least(F.size(ga), F.size(gb)))
+    whole_a, whole_b, ia, ib, first_a, first_b, n = (F.col(c) for c in ("wa", "wb", "ia", "ib", "ha", "hb", "words"))
     only = F.forall(ga, lambda w: F.length(w) == 1) | F.forall(gb, lambda w: F.length(w) == 1)
-    n = F.least(F.size(ga), F.size(gb))
-    first_a, first_b = _bare(F.element_at(ga, 1)), _bare(F.element_at(gb, 1))
     none = F.array().cast("array<string>")
     forms_a, forms_b = F.coalesce("forms_a", none), F.coalesce("forms_b", none)
     nick = F.array_contains(forms_a, first_b) | F.array_contains(forms_b, first_a) | F.arrays_overlap(forms_a, forms_b)
 
     def word(x: Column, y: Column) -> Column:
-        x, y = _bare(x), _bare(y)
         short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
         begins = (short >= 3) & (long - short >= 2) & (F.startswith(x, y) | F.startswith(y, x))
         return (
@@ -263,16 +266,17 @@ def name_similarity() -> tuple[Column, Column, Column]:
             .otherwise(0.0)
         )
 
-    words = F.zip_with(F.slice(ga, F.lit(1), n), F.slice(gb, F.lit(1), n), word)
-    apart = lambda g, whole, h: (F.size(g) > 1) & (F.length(F.element_at(g, 1)) < 3) & (F.length(h) > 2) & F.startswith(whole, h)
+    bare = lambda g: F.transform(F.slice(g, F.lit(1), n), _bare)
+    aligned = _once(told, sims=F.zip_with(bare(ga), bare(gb), word))
+    apart = lambda g, all_, h: (F.size(g) > 1) & (F.length(F.element_at(g, 1)) < 3) & (F.length(h) > 2) & F.startswith(all_, h)
     given = (
         F.when(only, F.when(F.startswith(ia, ib) | F.startswith(ib, ia), 0.6))
-        .when(F.array_min(words) > 0, F.aggregate(words, F.lit(0.0), lambda t, x: t + x) / n)
+        .when(F.array_min("sims") > 0, F.aggregate("sims", F.lit(0.0), lambda t, x: t + x) / n)
         .when(one_error(whole_a, whole_b, SHORT_GIVEN) | apart(ga, whole_a, first_b) | apart(gb, whole_b, first_a), 0.9)
     )
     # two errors in the family need given names that agree word by word
     agree = (F.col("given") >= 0.9) & ((F.size(ga) == F.size(gb)) | (whole_a == whole_b))
-    return family, given, F.col("family").isNotNull() & F.col("given").isNotNull() & ((F.col("family") >= 0.9) | agree)
+    return _once(aligned, given=given).where(F.col("given").isNotNull() & ((F.col("family") >= 0.9) | agree)).drop("sa", "sb", "wa", "wb", "ia", "ib", "ha", "hb", "words", "sims")
 
 
 def name_links(nodes: DataFrame, forms: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -303,10 +307,8 @@ def name_links(nodes: DataFrame, forms: DataFrame, threshold: float = 0.7) -> Da
 
     left, right = side(left_keys, "a"), side(right_keys, "b")
     met = left.join(right, "key").where("fuller_a = fuller_b and (fuller_a and node_a <> node_b or node_a < node_b)")
-    family, given, accepted = name_similarity()
+    verified = similar_names(met)
     wf, wg = F.least("wf_a", "wf_b"), F.least("wg_a", "wg_b")
-    # families are compared first; behind inline, similarities are computed once for all that uses them
-    verified = met.where(family.isNotNull()).select("*", F.inline(F.array(F.struct(family.alias("family"), given.alias("given"))))).where(accepted)
     verified = verified.withColumns({f"usual_{x}": -F.col(f"wf_{x}") - F.col(f"wg_{x}") for x in "ab"})
     scored = verified.withColumn("score", ((wf * F.col("family") + wg * F.col("given")) / (wf + wg) * 1000).cast("int")).where(F.col("score") >= int(threshold * 1000))
     ways = F.array(*(F.struct(*(F.col(f"{c}_{x}").alias(n + y) for x, y in zip(order, "ab") for c, n in (("node", ""), ("support", "s"), ("usual", "u"))), *(information(F.col(f"giv_{x}")).alias("i" + y) for x, y in zip(order, "ab"))) for order in ("ab", "ba")))

@@ -313,8 +313,7 @@ def test_name_links_meet_whatever_the_similarity_accepts(spark):
     got = {(r.a, r.b) for r in names.name_links(nodes, forms, threshold=0.1).collect()}
     full = nodes.withColumn("forms", F.when(F.element_at("giv", 1).isin("bill", "liam"), F.array(F.lit("william"))))
     a, b = (full.select(*(F.col(c).alias(f"{c}_{x}") for c in full.columns)) for x in "ab")
-    family, given_, ok = names.name_similarity()
-    accepted = {(r.node_a, r.node_b) for r in a.crossJoin(b).where("node_a <> node_b").withColumns({"family": family, "given": given_}).where(ok).collect()}
+    accepted = {(r.node_a, r.node_b) for r in names.similar_names(a.crossJoin(b).where("node_a <> node_b")).collect()}
     assert len(accepted) > 150 and got == accepted, (sorted((people[i], people[j]) for i, j in got ^ accepted)[:5])
 
 
