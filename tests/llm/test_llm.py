@@ -374,6 +374,16 @@ def test_affiliations_find_names_of_three_letters_and_numbers(spark):
     assert got == {(i, k) for i, want in enumerate(texts.values()) for k in want}
 
 
+def test_grams_of_words_are_not_broadcast(spark):
+    words = spark.range(3000).select(F.concat(F.lit("grol"), F.translate(F.col("id").cast("string"), "0123456789", "bcdfghklmn"), F.lit("ven")).alias("word"))
+    seen = words.select(F.regexp_replace("word", "ven$", "vne").alias("word"))
+    typed = linkage.typed_words(words.unionByName(seen), words)
+    assert typed.count() == seen.count()
+    plan = typed._jdf.queryExecution().executedPlan()
+    typed.collect()
+    assert "gram" in plan.toString() and "BroadcastHashJoin [gram" not in plan.toString()
+
+
 def test_affiliations_name_several_organisations_by_one_word(spark):
     orgs = [
         (1, "University of Kelburn", None, "Tarnak"), (2, "Kelburn University Hospital", None, "Tarnak"), (3, "University of Lomas", None, "Lomas"), (4, "Lomas University Hospital", None, None),
