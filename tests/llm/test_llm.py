@@ -1,6 +1,7 @@
 import base64
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -384,6 +385,42 @@ def test_grams_of_words_are_not_broadcast(spark):
     assert "gram" in plan.toString() and "BroadcastHashJoin [gram" not in plan.toString()
 
 
+def test_chance_pairs_are_all_pairs(spark):
+    """Against every pair of parts and organisations made by hand."""
+    rng = random.Random(3)
+    words, kinds = ["bone", "bon", "surgery", "su", "soil", "oil"], ["university", "hospital", None]
+    some = lambda n: sorted(rng.sample(words, rng.randint(0, n)))
+    parts = [sorted({(rng.choice(kinds), tuple(some(2))) for _ in range(rng.randint(1, 2))}, key=repr) for _ in range(200)]
+    orgs = [(rng.choice(kinds), some(3)) for _ in range(70)]
+
+    def level(kind, rest, org_kind, field):
+        meets = field and all(any(f.startswith(w) for f in field) for w in rest)
+        k, f = 2 if kind == org_kind else 1 if kind is None and not rest else 0, 1 if not rest else 2 if meets else 0
+        return k + f, k, f
+
+    want = Counter(max(level(*r, *o) for r in p)[1:] for p in parts for o in orgs)
+    df = spark.createDataFrame([(p,) for p in parts] + [(None,)], f"readings {linkage.READINGS}")
+    of = spark.createDataFrame(orgs, "kind string, field array<string>")
+    got = linkage.chance_counts(df, of)
+    assert {k: n for k, n in got.items() if n} == want and sum(got.values()) == len(parts) * len(orgs)
+    assert linkage.chance_counts(df.limit(0), of) == linkage.chance_counts(df, of.limit(0)) == {}
+
+
+def test_agreement_of_others_is_not_sampled(spark, monkeypatch):
+    """A kind and a field that one organisation in sixty has agree in one pair by chance in sixty, less those with itself."""
+    orgs = [(i, f"Institute of Soil {'abcdefghij'[i // 10] * 4}{'klmnopqrst'[i % 10] * 4}" if i else "Tarnak Foundation for Bees", None, None) for i in range(60)]
+    texts = [(i, "Fondation for Bees Tarnak" if i % 3 else f"Institute of Soil {orgs[1 + i][1].split()[-1]}", None) for i in range(30)]
+    told = {}
+    fit = linkage.fit
+    monkeypatch.setattr(linkage, "fit", lambda counts, chance, others: told.update(counts=counts, chance=chance) or fit(counts, chance, others))
+    links = linkage.affiliation_links(spark.createDataFrame(texts, "id bigint, affiliation string, identifier string"), spark.createDataFrame(orgs, "id bigint, name string, grid string, address_city string"))
+    assert links.count() == 30
+    # two texts: Tarnak, and ten institutes of soil
+    assert sum(told["counts"].values()) == 11 and sum(told["chance"].values()) == 11 * 59
+    agree = sum(n for p, n in told["chance"].items() if p[1:3] == "22")
+    assert agree == 10 * 58
+
+
 def test_affiliations_name_several_organisations_by_one_word(spark):
     orgs = [
         (1, "University of Kelburn", None, "Tarnak"), (2, "Kelburn University Hospital", None, "Tarnak"), (3, "University of Lomas", None, "Lomas"), (4, "Lomas University Hospital", None, None),
