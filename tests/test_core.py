@@ -360,3 +360,77 @@ def test_frequent_values_decide(spark):
     assert model.values["Bees of Norland"] > 2 and "Bees of Norland, Ants of Sudland" not in model.values
     assert model.split("Soil and Water, Air") == ["Soil and Water, Air"] and model.split("Bees of Norland / Ants of Sudland") == ["Bees of Norland", "Ants of Sudland"]
     assert model.split("Alphaz beta / Bees of Norland") == ["Alphaz beta", "Bees of Norland"]
+
+
+def test_frequent_values_beyond_any_number_decide(spark):
+    """As above, beside more values that are more frequent, and with values of more than 200 letters."""
+    whole = ["Soil and Water, Air"] * 6 + [f"Alpha{chr(97 + i)} beta" for i in range(20)]
+    long_ = " ".join(f"Norland{chr(97 + i % 20) * 3}" for i in range(30))
+    parts = ["Bees of Norland", "Ants of Sudland", long_] * 8
+    packed = [f"{a}, {b}" for a, b in zip(parts[::3], parts[1::3])] + [f"Alpha{chr(97 + i)} beta / Alpha{chr(98 + i)} beta" for i in range(12)]
+    of = spark.createDataFrame(list(enumerate(whole + parts + packed)), "id bigint, v string")
+    more = spark.range(7 * 50_001).select((F.col("id") + 1000).alias("id"), F.concat(F.lit("a"), (F.col("id") % 50_001).cast("string")).alias("v"))
+    model = multivalue.learn_column(of.unionByName(more), "v", multivalue.PROSE)
+    assert model.values["Bees of Norland"] > 2 and model.values[long_] > 2 and model.values["a50000"] > 1.9
+    assert model.split("Soil and Water, Air") == ["Soil and Water, Air"]
+
+
+def test_words_count_by_themselves_in_any_number(spark):
+    """A word that stands 5 times is told from others of its shape, also if 600 words are more frequent."""
+    letters = lambda i: "bcdfghklmn"[i // 100] + "aeioubcdfg"[i // 10 % 10] + "klmnoprstv"[i % 10]
+    words = [f"x{letters(i)} y{letters(i)}" for i in range(600) for _ in range(6)]
+    rows = words + [f"x{letters(i)} zut" for i in range(5)] + [f"x{letters(i)}, y{letters(i + 1)}" for i in range(50)]
+    model = multivalue.learn_column(spark.createDataFrame(list(enumerate(rows)), "id bigint, v string"), "v", multivalue.PROSE)
+    kinds = {r.w: r.kind for r in model.words.collect()}
+    assert kinds["zut"] == "zut" and all(kinds[w] == w for i in range(600) for w in (f"x{letters(i)}", f"y{letters(i)}"))
+
+
+def test_learning_in_tables_is_the_same(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b", "Cd", "x,", "y;", "z"], p=[0.3, 0.3, 0.1, 0.1, 0.05, 0.15]) for _ in range(n)) for n in rng.integers(1, 40, 60)]
+    model = multivalue.Segmenter({"a", "b", "x", "y"}, multivalue.PROSE)
+    counts = model.count(texts)
+    model.learn(counts)
+    part, unseen, tables = multivalue._learn_tables(spark, spark.createDataFrame([(*k, n) for k, n in counts.items() if k[0] != "length"], "what string, form string, l string, r string, n bigint"))
+    assert part == pytest.approx(model.part)
+    for r in tables.collect():
+        for w in multivalue.UNSEEN:
+            assert r[w] == pytest.approx(model.tables[w][r.kind]) and unseen[w] == pytest.approx(model.tables[w][""])
+
+
+def test_columns_are_split_alike_in_tables(spark, rows, monkeypatch):
+    data = [f"{a} of birds / {b}; the sample, {a}" for a in ("Notes", "Study", "Soil") for b in ("Bees", "Ants")] * 3 + ["Notes of birds", "Study of birds", "Bees", None] * 4
+    df = spark.createDataFrame(list(enumerate(data)), "id bigint, v string")
+    want = rows(multivalue.split_column(df, "id", "v", multivalue.PROSE))
+    monkeypatch.setattr(multivalue, "EM_COUNTS", 0)
+    assert want and rows(multivalue.split_column(df, "id", "v", multivalue.PROSE)) == want
+
+
+def test_long_frequent_values_decide(spark):
+    """A value of 70 words that occurs often counts as one of few words does, at its place only."""
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(rng.choice(["a", "b", "x,", "y;", "z"]) for _ in range(n))
+    model = multivalue.Segmenter(set(), multivalue.PROSE)
+    model.learn(model.count([text(n) for n in rng.integers(1, 100, 60)]))
+    for _ in range(20):
+        f = multivalue.read_field(text(200), model.delimiters)
+        nodes = multivalue._nodes(f)
+        gains = {k: float(g) for k, g in zip(nodes[1:-1], rng.normal(-1, 2, len(nodes)))}
+        values = {(nodes[i], nodes[j]): int(rng.integers(2, 10**9)) for i, j in rng.integers(0, len(nodes), (60, 2)) if i < j}
+        score = lambda a, b: model.length[min(multivalue.MAX_LENGTH, b - a)] + gains.get(b, 0.0) + np.log(values.get((a, b), 1))
+        best = {0: 0.0}
+        for j in nodes[1:]:
+            best[j] = max(best[i] + score(i, j) for i in best)
+        assert abs(sum(score(a, b) for a, b in model._cuts(f, gains, values)) - best[nodes[-1]]) < 1e-6
+    long_ = " ".join(f"Norland{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(70))
+    data = [long_] * 9 + ["Bees of Norland"] * 9 + ["Soil and Water, Air"] * 9 + [f"{long_}, Bees of Norland"]
+    df = spark.createDataFrame(list(enumerate(data)), "id bigint, v string")
+    learned = multivalue.learn_column(df, "v", multivalue.PROSE)
+    assert learned.values[long_] > 2
+    told = {"at": 0, "to": -1, "times": 9, "letters": len(long_), "whole": multivalue._md5(long_)}
+    of = lambda text: multivalue._counts([told, {"at": 70, "to": 73, "times": 2}], text, model.delimiters)
+    assert of(f"{long_}, Bees of Norland") == {(0, 70): 9, (70, 73): 2} and of(f"{long_} Bees, of Norland") == of(f"{long_[:-1]}x, Bees of Norland") == {(70, 73): 2}
+    got = {}
+    for r in multivalue.split_column(df, "id", "v", multivalue.PROSE).collect():
+        got.setdefault(r.id, {})[r.pos] = r.value
+    assert got == {27: {0: long_, 1: "Bees of Norland"}}
