@@ -264,3 +264,43 @@ def test_records_as_a_data_source(spark, tmp_path, rows):
     plugin.register(spark)
     assert rows(spark.read.format("scholion_records").option("source", "crossref").option("path", path).load().select("container_id", "item")) == [(0, 0), (0, 1), (1, 0)]
     assert rows(spark.read.format("scholion_records").option("source", "lines").option("path", path).load()) == [(0, 0, "lines", "one"), (0, 1, "lines", "two")]
+
+
+def test_records_are_not_taken_for_as_small_as_their_paths(spark, tmp_path, rows):
+    import gzip
+    import json
+
+    (tmp_path / "c").mkdir()
+    for k in range(2):
+        with gzip.open(tmp_path / "c" / f"{k}.json.gz", "wt") as f:
+            for i in range(500):
+                f.write(json.dumps({"DOI": f"10.9/{k}.{i}", "type": "t", "reference": [{"key": f"r{j}", "DOI": f"10.9/{j}.{i}"} for j in range(4)]}) + "\n")
+    s = sources.Crossref(spark, str(tmp_path / "c"))
+    assert s.read_records().rdd.getNumPartitions() == 2
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")  # the paths have less, each side of the join more
+    try:
+        got = s.query("SELECT type, count(*) AS n, count(DISTINCT work_references.doi) AS dois FROM works JOIN work_references ON works.id = work_references.work_id GROUP BY type")
+        assert rows(got) == [("t", 4000, 2000)]
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_containers_written_in_batches(spark, tmp_path):
+    import gzip
+
+    from pyspark.sql import functions as F
+
+    from scholion.plans.sourced import write_containers
+
+    bodies = spark.range(2500, 0, -1, 7).select((F.col("id") % 3).alias("file"), F.col("id").alias("place"), F.concat(F.lit("b"), "id").alias("body"))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        write_containers(bodies, str(tmp_path), "{}.gz", "head\n", "tail")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    for k in range(3):
+        with gzip.open(tmp_path / f"{k}.gz", "rt") as f:
+            assert f.read() == "head\n" + "".join(f"b{i}\n" for i in range(1, 2501) if i % 3 == k) + "tail"
