@@ -304,3 +304,26 @@ def test_containers_written_in_batches(spark, tmp_path):
     for k in range(3):
         with gzip.open(tmp_path / f"{k}.gz", "rt") as f:
             assert f.read() == "head\n" + "".join(f"b{i}\n" for i in range(1, 2501) if i % 3 == k) + "tail"
+
+
+def test_subject_links_take_little_space(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    db = str(tmp_path / "db")
+    spark.range(20000).select(F.col("id").cast("int"), F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(20))).alias("field")).write.parquet(os.path.join(db, "asjcs"))
+    spark.range(2000).select((F.col("id") * 7919).alias("work_id"), F.concat(F.lit("f"), F.col("id") % 21).alias("name")).write.parquet(os.path.join(db, "work_subjects"))
+    processes.link_works_asjcs(spark, db)
+    got, works, codes = _read(spark, db, "works_asjcs"), _read(spark, db, "work_subjects"), _read(spark, db, "asjcs")
+    want = works.join(codes, F.col("name") == F.col("field")).select("work_id", F.col("id").alias("asjc_id"))
+    n = want.count()
+    assert n > 1_500_000 and got.count() == n and got.exceptAll(want).isEmpty()
+    held = sum(p.stat().st_size for p in (tmp_path / "db" / "works_asjcs").glob("*.parquet"))
+    assert held < n / 4, held
+
+
+def test_codes_that_are_missing_or_occur_twice_are_linked(spark, rows):
+    from scholion.operators import linking
+
+    codes = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "a"), (1 << 30, "a"), (2, None), (3, "c")], "id int, field string")
+    works = spark.createDataFrame([(7, "a"), (8, None), (9, "b"), (10, "c")], "work_id bigint, name string")
+    assert rows(linking.link_subjects(works, codes)) == [(10, 3), (7, 1), (7, 1), (7, 1 << 30), (7, None), (7, None)]
